@@ -221,3 +221,25 @@ def running_start(df: DataFrame, group: list[str], value: str, tie: list[str], o
     before = Window.partitionBy(*group).orderBy(f"{out}_chunk").rowsBetween(Window.unboundedPreceding, 0)
     totals = totals.withColumn("_before", F.sum("_sum").over(before) - F.col("_sum")).drop("_sum")
     return df.join(totals, key).withColumn(out, F.col("_before") + F.col("_in")).drop("_before", "_in")
+
+
+def bounded_sample(labels: DataFrame, bound: int) -> DataFrame:
+    """At most `bound` rows (doc_id, label), the first by a hash of doc_id; for broadcasting."""
+    order = F.xxhash64("doc_id", F.lit(7))
+    return labels.select("doc_id", "label").filter("doc_id is not null and label is not null").orderBy(order, "doc_id", "label").limit(bound)
+
+
+def adam(gradient, start: list[np.ndarray], turns: int, rate: float) -> list[np.ndarray]:
+    """Minimises by Adam, full batch; gradient(params) gives a list like params. Deterministic."""
+    p = [x.astype(np.float64) for x in start]
+    m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
+    for t in range(1, turns + 1):
+        for i, g in enumerate(gradient(p)):
+            m[i] = 0.9 * m[i] + 0.1 * g
+            v[i] = 0.999 * v[i] + 0.001 * g * g
+            p[i] = p[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+    return p
+
+
+def sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
