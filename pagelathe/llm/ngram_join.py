@@ -2,8 +2,8 @@
 
 Sets are the distinct word shingles of a text. Two sets link when intersection * 100 >= percent * union.
 
-1. Texts whose sets are equal become one node (a 128-bit digest of the set; pre-aggregated, so a group of copies of any
-   size costs a row a task).
+1. Texts whose sets are equal become one node (a 128-bit digest of the set). A task sends the shingles of a node once for each
+   chunk of its rows, so a group of copies of any size costs a set a chunk.
 2. Shingles go to buckets in packed blocks. A bucket counts in how many nodes each shingle is; those found in one node
    only go no further, since they are in no intersection. The others go back to their node with that count.
 3. In a node's set ordered by (count, hash), at least one of the first n - ceil(percent n) + 1 shingles is shared with
@@ -95,16 +95,19 @@ def _to_buckets(width, buckets, chunk=1 << 21):
         return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *(binary(x) for x in zip(*rows))], names=["bucket", "h", "node", "n", "c"])
 
     def run(batches):
-        held, size = [], 0
+        held, size, seen = [], 0, set()
         for batch in batches:
             for _, buf, off in slices(column(batch, "text")):
                 text, h = shingles(Words(buf, off, True), width)
                 n, node, _ = digests(text, h, len(off) - 1)
+                new = np.zeros(len(node), bool)  # of copies in a chunk, one goes on
+                new[[i for i, x in enumerate(node.tolist()) if not (x in seen or seen.add(x))]] = True
+                text, h = text[new[text]], h[new[text]]
                 held.append((h, node[text], n[text].astype(np.int32)))
                 size += len(h)
                 if size >= chunk:
                     yield out(held)
-                    held, size = [], 0
+                    held, size, seen = [], 0, set()
         if size:
             yield out(held)
 
@@ -118,12 +121,15 @@ def _shared(buckets):
         h, node, n, c = unpack(batches, ("h", U64), ("node", np.int64), ("n", np.int32), ("c", np.int32))
         if not len(h):
             return
-        order = np.argsort(h, kind="stable")
-        begin = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
-        size = np.diff(np.append(begin, len(h)))
-        df = np.empty(len(h), np.int32)
-        df[order] = np.repeat(size, size)
         owner = np.repeat(np.arange(len(node)), c)
+        order = np.lexsort((node[owner], h))
+        h, owner = h[order], owner[order]
+        new = np.ones(len(h), bool)  # copies from several chunks count once
+        new[1:] = (h[1:] != h[:-1]) | (node[owner[1:]] != node[owner[:-1]])
+        h, owner = h[new], owner[new]
+        begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        size = np.diff(np.append(begin, len(h)))
+        df = np.repeat(size, size).astype(np.int32)
         keep = df > 1
         h, df, owner = h[keep], df[keep], owner[keep]
         order, found, at = by_bucket((mix(node[owner].view(U64)) % U64(buckets)).astype(np.int64))
@@ -144,9 +150,6 @@ def _sets(percent):
         node, n = np.repeat(node, c), np.repeat(n, c)
         order = np.lexsort((h, df, node))
         h, df, node, n = h[order], df[order], node[order], n[order]
-        again = np.zeros(len(h), bool)  # a set that two rows with one doc_id brought twice
-        again[1:] = (h[1:] == h[:-1]) & (node[1:] == node[:-1])
-        h, df, node, n = h[~again], df[~again], node[~again], n[~again]
         begin = np.append(np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(h) else [], len(h)).astype(np.int64)
         rows = []
         for lo, hi in zip(begin[:-1], begin[1:]):
@@ -238,9 +241,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
     classes = materialize(sketch.filter("n_shingles > 0").groupBy(*class_key).agg(F.min("doc_id").alias("least")))
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
 
-    one = classes.select(F.col("least").alias("doc_id")).hint("shuffle_hash")
     parts = partitions(spark, total, BUCKET)
-    blocks = docs.join(one, "doc_id", "left_semi").select("text").mapInArrow(_to_buckets(width, parts), "bucket long, h binary, node binary, n binary, c binary")
+    blocks = docs.select("text").mapInArrow(_to_buckets(width, parts), "bucket long, h binary, node binary, n binary, c binary")
     shared = blocks.repartition(parts, "bucket").mapInArrow(_shared(parts), "bucket long, h binary, df binary, node binary, n binary, c binary")
     sets = materialize(shared.repartition(parts, "bucket").mapInArrow(_sets(percent), "node long, n long, shared binary, prefix binary, scan long"))
     del blocks, shared
