@@ -15,7 +15,7 @@ U64 = np.uint64
 #: Odd multipliers of the polynomial hashes (mod 2**64), one for bytes in a word and one for words in a sequence.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Text bytes hashed in one go; bounds the memory of the numpy temporaries.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -165,6 +165,15 @@ def unpack(batches, *kinds: tuple[str, type]) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, kind) for x, (_, kind) in zip(got, kinds)]
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """Integers as planes of bytes, lowest first: small numbers leave planes of zeros, which any codec packs away."""
+    return np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+
+
+def unplaned(b: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(b.reshape(4, -1).T).view("<i4").reshape(-1)
+
+
 def by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A stable order by bucket, the buckets that have rows, and where each begins (with the end)."""
     order = np.argsort(bucket, kind="stable")

@@ -34,7 +34,7 @@ from .common import U64, WORD_BASE, Words, binary, by_bucket, column, components
 #: Largest light set that is ever considered; beyond it, subsets outnumber any list.
 MAX_LIGHT = 12
 #: Shingles a bucket should hold (8 bytes each, and as much again a few times while it is sorted).
-BUCKET = 1_500_000
+BUCKET = 1_000_000
 
 
 def need(n: int, m: int, percent: int) -> int:
@@ -81,7 +81,7 @@ def _sketch(width):
     return run
 
 
-def _to_buckets(width, buckets, chunk=1 << 21):
+def _to_buckets(width, buckets, chunk=1 << 20):
     """Rows (bucket, hashes, owners, sizes, counts): hashes by owner, counts of them by owner."""
 
     def out(held):
