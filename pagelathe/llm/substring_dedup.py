@@ -22,9 +22,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_BASE, Words, binary, by_bucket, column, ids_of, mix, partitions, pick, slices, spans, unpack
+from .common import U64, WORD_BASE, Words, binary, by_bucket, column, ids_of, materialize, mix, partitions, pick, planes, release, slices, spans, unpack, unplaned
 
-BUCKET = 1_500_000
+BUCKET = 1_000_000
 BLOCK = "kind int, bucket long, h binary, pos binary, doc binary, text_hash binary, c binary, to_doc binary, shift binary, run binary"
 NAMES = [x.split()[0] for x in BLOCK.split(", ")]
 
@@ -59,7 +59,7 @@ def _elsewhere(group, doc, pos):
     return many, doc[other], pos[other], begin
 
 
-def _windows(width, buckets, chunk=1 << 21):
+def _windows(width, buckets, chunk=1 << 20):
     def out(held):
         h, pos, owner = (np.concatenate(x) for x in list(zip(*held))[:3])
         doc, text_hash = (np.concatenate(x) for x in list(zip(*held))[3:])
@@ -68,12 +68,13 @@ def _windows(width, buckets, chunk=1 << 21):
         many, to_doc, to_pos, begin = _elsewhere(h, doc[owner], pos)
         yield from _found(owner[many], pos[many], to_doc[many], to_pos[many], doc, text_hash, buckets)
         h, pos, owner = h[begin], pos[begin], owner[begin]
-        order = np.lexsort((owner, (h >> U64(40)) % U64(buckets)))
+        bucket = ((h >> U64(40)) % U64(buckets)).astype(np.int64)
+        order = np.lexsort((pos, owner, bucket))
         h, pos, owner = h[order], pos[order], owner[order]
-        _, found, at = by_bucket(((h >> U64(40)) % U64(buckets)).astype(np.int64))
+        _, found, at = by_bucket(bucket[order])
         for b, lo, hi in zip(found, at[:-1], at[1:]):
             own, first = np.unique(owner[lo:hi], return_index=True)
-            yield _row(0, b, h[lo:hi], pos[lo:hi].astype(np.int32), doc[own], text_hash[own], np.diff(np.append(first, hi - lo)).astype(np.int32), NONE, NONE, NONE)
+            yield _row(0, b, h[lo:hi], planes(np.diff(pos[lo:hi], prepend=0)), doc[own], text_hash[own], np.diff(np.append(first, hi - lo)).astype(np.int32), NONE, NONE, NONE)
 
     def run(batches):
         held, size, rows = [], 0, 0
@@ -106,13 +107,15 @@ def _lookup(buckets):
             if batch.filter(passed).num_rows:
                 yield batch.filter(passed)
             mine.append(batch.filter(pc.invert(passed)))
-        h, pos, doc, text_hash, c = unpack(mine, ("h", U64), ("pos", np.int32), ("doc", np.int64), ("text_hash", np.int64), ("c", np.int32))
-        del mine
+        h, doc, text_hash, c = unpack(mine, ("h", U64), ("doc", np.int64), ("text_hash", np.int64), ("c", np.int32))
+        steps = [unplaned(np.frombuffer(x.as_buffer(), np.uint8)) for batch in mine for x in column(batch, "pos")]
+        pos = np.concatenate([np.cumsum(x) for x in steps]) if steps else np.zeros(0, np.int64)
+        del mine, steps
         if not len(h):
             return
         owner = np.repeat(np.arange(len(doc)), c)
         order = np.lexsort((pos, text_hash[owner], doc[owner], h))
-        h, pos, owner = h[order], pos[order].astype(np.int64), owner[order]
+        h, pos, owner = h[order], pos[order], owner[order]
         many, to_doc, to_pos, _ = _elsewhere(h, doc[owner], pos)
         yield from _found(owner[many], pos[many], to_doc[many], to_pos[many], doc, text_hash, buckets)
 
@@ -174,7 +177,9 @@ def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     parts = partitions(spark, docs.agg(F.sum(F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]+")))).first()[0] or 0, BUCKET)
     blocks = docs.mapInArrow(_windows(width, parts), BLOCK).repartition(parts, "bucket").mapInArrow(_lookup(parts), BLOCK)
     kind = "fdoc long, fhash long, start array<int>, words array<int>, ref_doc array<long>, ref_start array<int>"
-    factors = blocks.repartition(parts, "bucket").mapInArrow(_factors(width), kind)
+    factors = materialize(blocks.repartition(parts, "bucket").mapInArrow(_factors(width), kind))
+    del blocks
+    release(spark)
     both = docs.join(factors.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("fdoc")) & (F.col("text_hash") == F.col("fhash")), "left")
     out = "doc_id long, n_words long, n_removed long, kept string, start array<int>, words array<int>, ref_doc array<long>, ref_start array<int>"
     return both.select("doc_id", "text", "start", "words", "ref_doc", "ref_start").mapInArrow(_kept, out)
