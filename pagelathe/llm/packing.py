@@ -14,7 +14,9 @@ Null text counts as empty: the end id alone. Rows that share a doc_id are separa
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 from itertools import chain
 
@@ -26,10 +28,17 @@ from pyspark.sql import functions as F
 from .common import column, materialize, pick, running_start
 
 #: Chunks whose ids a Python worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
+def packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Ids:
     """Token ids of texts, equal to those of the tokenizer file. A single space between two visible characters always begins
     a new pre-token, so texts fall into chunks there whose ids don't depend on what stands around; chunks recur, and are
@@ -69,9 +78,8 @@ class Ids:
             self.known.clear()
             new = set(chain.from_iterable(p[1:] for p in parts))
         new = list(new)
-        pack = np.array
-        self.known.update(zip(new, (pack(x, "<u4").tobytes() for x in self._new([" " + c for c in new]))))
-        heads = (pack(x, "<u4").tobytes() for x in self._new([p[0] for p in parts]))
+        self.known.update(zip(new, map(packed, self._new([" " + c for c in new]))))
+        heads = map(packed, self._new([p[0] for p in parts]))
         get = self.known.__getitem__
         return [h + b"".join(map(get, p[1:])) for h, p in zip(heads, parts)]
 
