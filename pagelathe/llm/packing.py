@@ -144,31 +144,34 @@ def best_fit(counts: dict[int, int], window: int) -> tuple[list[tuple[int, int,
             open_[capacity].append((first, count))
             tree.set(capacity, True)
 
+    def fill(capacity, first, count, length, rank, left):
+        """Places items in windows first, first + 1, ... of one capacity: each takes as many as it holds before the next
+        does, for it is then the tightest. Gives the items placed."""
+        each = capacity // length
+        full = min(count, left // each)
+        over = min(left - full * each, each) if full < count else 0
+        begin = rank
+        for some, at, many in ((full, first, each), (1, first + full, over)):
+            for layer in range(many if some else 0):
+                runs.append((length, rank, some, at, window - capacity + layer * length))
+                rank += some
+            if many:
+                put(capacity - many * length, at, some)
+        put(capacity, first + full + bool(over), count - full - bool(over))
+        return rank - begin
+
     for length in sorted((n for n in counts if counts[n]), reverse=True):
         rank, left = 0, counts[length]
-        while left and (capacity := tree.tightest(length)) is not None:
-            first, count = open_[capacity].pop()
-            now = min(left, count)
-            runs.append((length, rank, now, first, window - capacity))
-            if now < count:
-                open_[capacity].append((first + now, count - now))
-            tree.set(capacity, bool(open_[capacity]))
-            put(capacity - length, first, now)
-            rank, left = rank + now, left - now
-        if left:
-            each = window // length
-            full, over = divmod(left, each)
-            for layer in range(each if full else 0):
-                runs.append((length, rank, full, windows, layer * length))
-                rank += full
-            put(window - each * length, windows, full)
-            windows += full
-            for layer in range(over):
-                runs.append((length, rank, 1, windows, layer * length))
-                rank += 1
-            if over:
-                put(window - over * length, windows, 1)
-                windows += 1
+        while left:
+            capacity = tree.tightest(length)
+            if capacity is None:
+                capacity, first, count = window, windows, -(-left // (window // length))
+                windows += count
+            else:
+                first, count = open_[capacity].pop()
+                tree.set(capacity, bool(open_[capacity]))
+            placed = fill(capacity, first, count, length, rank, left)
+            rank, left = rank + placed, left - placed
     return runs, windows
 
 
