@@ -13,7 +13,8 @@ Sets are the distinct word shingles of a text. Two sets link when intersection *
    counts of this corpus.
 5. Within a list only links between different components matter. Two rounds join each node to the pivot that it
    meets in most lists; then every pair of a list that is still in different components is verified. No pair is
-   left out, and a group of near copies makes rows in proportion to its size, not to its square.
+   left out but those that counting rules out: sets share no more than what either shares with anything, and no more than the lists
+   they meet in plus what follows the prefix. A group of near copies makes rows in proportion to its size, not to its square.
 
 Null text counts as empty. Empty sets link with nothing. A null doc_id takes part but is never a component_id. Repeated
 doc_ids are separate rows of the result. Only doc_id and text are read; other columns don't matter.
@@ -178,7 +179,7 @@ def subset_sizes(n: int, percent: int, most: int) -> list[int]:
 def _keys(percent, boundary):
     def run(batches):
         for batch in batches:
-            key, node, size = [], [], []
+            key, node, size, held = [], [], [], []
             for i, n, s, p in zip(*(column(batch, x).to_pylist() for x in ("node", "n", "shared", "prefix"))):
                 own = [np.frombuffer(p, U64)]
                 if n <= boundary:
@@ -190,8 +191,9 @@ def _keys(percent, boundary):
                 key.append(own)
                 node.append(np.full(len(own), i, np.int64))
                 size.append(np.full(len(own), n, np.int32))
+                held.append(np.full(len(own), len(s) // 8, np.int32))
             if key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(size))], names=["key", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (node, size, held))], names=["key", "node", "n", "s"])
 
     return run
 
@@ -249,25 +251,29 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
     release(spark)
 
     boundary = boundary_by_cost(sets, percent)
-    keys = sets.mapInArrow(_keys(percent, boundary), "key long, node long, n int")
+    keys = sets.mapInArrow(_keys(percent, boundary), "key long, node long, n int, s int")
     many = keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
     keys = materialize(keys.join(many, "key"))
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    least = f"ceil({percent} * (n + m) / {100 + percent})"  # shingles that linked sets share; no more than either shares with anything
+    fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and least(s, t) >= {least}"
     found, roots = None, None
     for turn in range(rounds):
         now = keys.withColumn("root", F.col("node")) if roots is None else keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pivot = now.groupBy("key").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-        met = now.join(pivot.select("key", F.col("p.node").alias("p"), F.col("p.n").alias("m"), F.col("p.root").alias("proot")), "key").filter(f"root <> proot and {fits}")
+        pivot = now.groupBy("key").agg(F.min_by(F.struct("node", "n", "s", "root"), F.xxhash64("node", F.lit(turn))).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+        met = now.join(pivot.select("key", F.col("p.node").alias("p"), F.col("p.n").alias("m"), F.col("p.s").alias("t"), F.col("p.root").alias("proot")), "key").filter(f"root <> proot and {fits}")
         met = met.groupBy("node", "p").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("p", F.struct("k", "p")).alias("p"))
         links = _links(met.select(F.col("p").alias("a"), F.col("node").alias("b")), sets, percent)
         found = materialize(links if found is None else links.unionByName(found))
         roots = components(found)
         roots = materialize(roots)
-    now = keys.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    now = keys.join(roots, "node", "left").select("key", "node", "n", "s", F.coalesce("root", "node").alias("root"))
     mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     now = materialize(now.join(mixed, "key"))
-    other = now.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("root").alias("oroot"))
-    rest = now.join(other, "key").filter(f"node < other and root <> oroot and {fits}").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    other = now.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("root").alias("oroot"))
+    rest = now.join(other, "key").filter(f"node < other and root <> oroot and {fits}").groupBy("node", "other", "n", "m").agg(F.count("*").alias("k"))
+    # of the two prefixes, the one that ends first holds all that it shares with the other set in lists of both
+    after = f"ceil({percent} * greatest(n, m) / 100) - 1"
+    rest = rest.filter(f"greatest(n, m) <= {boundary} or k + {after} >= {least}").select(F.col("node").alias("a"), F.col("other").alias("b"))
     found = materialize(found.unionByName(_links(rest, sets, percent)))
     roots = materialize(components(found))
 
