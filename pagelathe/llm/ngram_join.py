@@ -12,7 +12,7 @@ Sets are the distinct word shingles of a text. Two sets link when intersection *
    inverted lists of their prefix. The boundary is the size up to which enumerating costs less than scanning, by the
    counts of this corpus.
 5. Within a list only links between different components matter. Two rounds join each node to the pivot that it
-   meets in most lists; then every pair of a list that is still in different components is verified. No pair is
+   meets in most lists (first the set with the least of its own, as the original in a family of near copies has; then any); then every pair of a list that is still in different components is verified. No pair is
    left out but those that counting rules out: sets share no more than what either shares with anything, and no more than the lists
    they meet in plus what follows the prefix. A group of near copies makes rows in proportion to its size, not to its square.
 
@@ -259,7 +259,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
     found, roots = None, None
     for turn in range(rounds):
         now = keys.withColumn("root", F.col("node")) if roots is None else keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pivot = now.groupBy("key").agg(F.min_by(F.struct("node", "n", "s", "root"), F.xxhash64("node", F.lit(turn))).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+        pivot = now.groupBy("key").agg(F.min_by(F.struct("node", "n", "s", "root"), F.struct((F.col("n") - F.col("s")) / F.col("n") if turn == 0 else F.lit(0.0), F.xxhash64("node", F.lit(turn)))).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
         met = now.join(pivot.select("key", F.col("p.node").alias("p"), F.col("p.n").alias("m"), F.col("p.s").alias("t"), F.col("p.root").alias("proot")), "key").filter(f"root <> proot and {fits}")
         met = met.groupBy("node", "p").agg(F.count("*").alias("k")).groupBy("node").agg(F.max_by("p", F.struct("k", "p")).alias("p"))
         links = _links(met.select(F.col("p").alias("a"), F.col("node").alias("b")), sets, percent)
