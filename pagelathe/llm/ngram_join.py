@@ -12,9 +12,11 @@ Sets are the distinct word shingles of a text. Two sets link when intersection *
    inverted lists of their prefix. The boundary is the size up to which enumerating costs less than scanning, by the
    counts of this corpus.
 5. Within a list only links between different components matter. Two rounds join each node to the pivot that it
-   meets in most lists (first the set with the least of its own, as the original in a family of near copies has; then any); then every pair of a list that is still in different components is verified. No pair is
-   left out but those that counting rules out: sets share no more than what either shares with anything, and no more than the lists
-   they meet in plus what follows the prefix. A group of near copies makes rows in proportion to its size, not to its square.
+   meets in most lists (first the set with the least of its own, as the original in a family of near copies has; then any); then the pairs of a list that are still in different components are verified. No pair is
+   left out but those that counting rules out: sets share no more than what either shares with anything, and in the list of
+   the first shingle that they share, no more than what either has left from there on. So of a set that meets larger ones,
+   only its first n - need(n, n) + 1 places are searched, and a pair is kept at a place of both only if enough is left
+   in both. A group of near copies makes rows in proportion to its size, not to its square.
 
 Null text counts as empty. Empty sets link with nothing. A null doc_id takes part but is never a component_id. Repeated
 doc_ids are separate rows of the result. Only doc_id and text are read; other columns don't matter.
@@ -179,21 +181,23 @@ def subset_sizes(n: int, percent: int, most: int) -> list[int]:
 def _keys(percent, boundary):
     def run(batches):
         for batch in batches:
-            key, node, size, held = [], [], [], []
+            key, node, size, held, place = [], [], [], [], []
             for i, n, s, p in zip(*(column(batch, x).to_pylist() for x in ("node", "n", "shared", "prefix"))):
-                own = [np.frombuffer(p, U64)]
+                own, at = [np.frombuffer(p, U64)], [n - len(s) // 8 + np.arange(len(p) // 8)]
                 if n <= boundary:
                     tokens = np.frombuffer(s, U64)
                     own += [mix(np.array([hash_subset(x, c) for x in combinations(tokens.tolist(), c)], U64)) for c in subset_sizes(n, percent, boundary) if c <= len(tokens)]
+                    at += [np.zeros(len(x), np.int64) for x in own[1:]]  # a subset is enough by itself
                     if 100 * n < percent * (boundary + 1):  # no heavy partner
-                        own = own[1:]
+                        own, at = own[1:], at[1:]
                 own = np.concatenate(own) if own else np.zeros(0, U64)
                 key.append(own)
                 node.append(np.full(len(own), i, np.int64))
                 size.append(np.full(len(own), n, np.int32))
                 held.append(np.full(len(own), len(s) // 8, np.int32))
+                place.append(np.concatenate(at).astype(np.int32) if at else np.zeros(0, np.int32))
             if key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (node, size, held))], names=["key", "node", "n", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (node, size, held, place))], names=["key", "node", "n", "s", "i"])
 
     return run
 
@@ -251,7 +255,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
     release(spark)
 
     boundary = boundary_by_cost(sets, percent)
-    keys = sets.mapInArrow(_keys(percent, boundary), "key long, node long, n int, s int")
+    keys = sets.mapInArrow(_keys(percent, boundary), "key long, node long, n int, s int, i int")
     many = keys.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
     keys = materialize(keys.join(many, "key"))
     least = f"ceil({percent} * (n + m) / {100 + percent})"  # shingles that linked sets share; no more than either shares with anything
@@ -266,14 +270,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
         found = materialize(links if found is None else links.unionByName(found))
         roots = components(found)
         roots = materialize(roots)
-    now = keys.join(roots, "node", "left").select("key", "node", "n", "s", F.coalesce("root", "node").alias("root"))
+    now = keys.join(roots, "node", "left").select("key", "node", "n", "s", "i", F.coalesce("root", "node").alias("root"))
     mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     now = materialize(now.join(mixed, "key"))
-    other = now.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("root").alias("oroot"))
-    rest = now.join(other, "key").filter(f"node < other and root <> oroot and {fits}").groupBy("node", "other", "n", "m").agg(F.count("*").alias("k"))
-    # of the two prefixes, the one that ends first holds all that it shares with the other set in lists of both
-    after = f"ceil({percent} * greatest(n, m) / 100) - 1"
-    rest = rest.filter(f"greatest(n, m) <= {boundary} or k + {after} >= {least}").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    other = now.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("i").alias("j"), F.col("root").alias("oroot"))
+    other = other.filter(f"m - j >= ceil({percent} * 2 * m / {100 + percent})")  # its partners are as large or larger
+    larger = "(m < n or m = n and node < other)"
+    rest = now.join(other, "key").filter(f"{larger} and root <> oroot and {fits} and least(n - i, m - j) >= {least}")
+    rest = rest.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
     found = materialize(found.unionByName(_links(rest, sets, percent)))
     roots = materialize(components(found))
 
