@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, keyword_pattern, units
+from ..operators import folds
 from ..operators import lines as L
+from ..operators import pages as G
 from ..operators import rules as R
 from ..operators import sentences as S
 from ..operators import tables as T
 from ..params import KINDS, Params
+from ..sources import files
+from . import extract as X
 
 P = Params(terminator=".", repeat_ratio=0.1)
 WORDS = ["the", "token", "license"]
@@ -24,9 +28,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents over at least as many tasks as there are cores: a table of one split would be cleaned by one task."""
+    docs, n = _table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(n, "doc_id") if docs.rdd.getNumPartitions() < n else docs
+
+
 def sentences(spark, sf_dir) -> DataFrame:
     """L1 rows: doc_id, page_no, k (in the page), ord (in the document), sentence, kind, section, block_id."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     out = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), F.posexplode(units(F.col("text"), ".", 2)).alias("k", "sentence"))
     out = out.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "k")) - 1)
     kind = F.when(F.col("k") % 7 == 3, "table").when(F.length("sentence") <= 20, "large").otherwise("body")
@@ -34,7 +44,7 @@ def sentences(spark, sf_dir) -> DataFrame:
 
 
 def page_lines(spark, sf_dir) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     out = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
     out = out.withColumn("text", F.trim("text")).filter("text <> ''")
     return out.withColumn("x0", F.when(F.col("ord") % 5 == 4, 300.0).otherwise(0.0)).withColumn("y0", F.col("ord") * F.lit(12.0)).withColumn("size", F.when(F.length("text") <= 40, 14.0).otherwise(9.0)).withColumn("bold", F.lit(False))
@@ -106,7 +116,7 @@ def f2(spark, sf_dir):
 
 @query("f1_clean_text", f"select doc_id, {SQL_CLEAN} as cleaned from documents")
 def f1(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", clean(F.col("text")).alias("cleaned"))
+    return _documents(spark, sf_dir).select("doc_id", clean(F.col("text")).alias("cleaned"))
 
 
 @query("a4_page_rollup", f"""with {SENTENCES}, c as (select doc_id, page_no, kind, count(*) as n, min(ord) as o from s group by all),
@@ -354,3 +364,111 @@ def j10(spark, sf_dir):
     y = F.floor(F.col("ord") / 4) * F.lit(12.0)
     b = b.withColumn("y0", y).withColumn("y1", y + 10).withColumn("x1", F.col("x0") + 100)
     return T.duplicate_pairs(b).select("doc_id", "page_no", "a_ord", "b_ord", "ratio")
+
+
+# Whole pages and documents.
+
+
+@query("a9_run_log", f"""with {SENTENCES}, h as (select doc_id, count(*) as n_units from s where {HIT} group by 1)
+select doc_id, count(*) as n_sentences, count(distinct page_no) as n_page_units, count(*) filter (kind = 'body') as body, count(*) filter (kind = 'large') as large, 0::bigint as small, 0::bigint as tiny, count(*) filter (kind = 'table') as "table",
+count(distinct section) as n_sections, sum(length(sentence))::bigint as n_chars, coalesce(any_value(n_units), 0)::bigint as n_units, round_even(count(*)::double / count(distinct page_no), 1) as sentences_per_page from s left join h using (doc_id) group by doc_id""")
+def a9(spark, sf_dir):
+    rows = sentences(spark, sf_dir)
+    return G.run_log(_pages(spark, sf_dir).select("doc_id"), rows, rows.filter(F.col("sentence").rlike(keyword_pattern(WORDS))))
+
+
+@query("a11_hits_by_page", f"with {SENTENCES} select doc_id, page_no, count(*) as n_hits from s where {HIT} group by 1, 2")
+def a11(spark, sf_dir):
+    return G.hits_by_page(sentences(spark, sf_dir), keyword_pattern(WORDS))
+
+
+@query("c11_page_suggestions", f"""with {LINES}, f as (select doc_id, page_no, count(*) as n_lines, sum(length(text))::bigint as n_chars, count(*) filter (regexp_matches(text, '[0-9]{{1,3}}\\s*$')) as n_tails, bool_or(size = 14) as big,
+    coalesce(string_agg(text, '／' order by ord) filter (size = 14), '') as heads, bool_or(regexp_matches(text, '(?i)^(目\\s*次|もくじ|CONTENTS?|INDEX)$') and (size = 14 or not exists (select 1 from l m where m.doc_id = l.doc_id and m.page_no = l.page_no and m.size = 14))) as titled from l group by 1, 2),
+p as (select source as doc_id, doc_id as page, row_number() over (partition by source order by doc_id) as page_no, count(*) over (partition by source) as n from documents),
+j as (select p.doc_id, p.page_no, n, coalesce(n_lines, 0) as n_lines, coalesce(n_chars, 0) as n_chars, coalesce(n_tails, 0) as n_tails, coalesce(big, false) as big, coalesce(heads, '') as heads, coalesce(titled, false) as titled, p.page_no <= greatest(10, n * 0.15::double) as early from p left join f on f.doc_id = p.doc_id and f.page_no = p.page),
+c as (select doc_id, page_no, case when page_no = 1 then ['cover', 'first page'] when page_no = n and n_chars < 300 then ['cover', 'last page of ' || n_chars || ' characters'] when early and titled then ['contents', 'largest heading']
+    when early and n_lines >= 10 and n_tails * 10 >= n_lines * 4 then ['contents', (n_tails * 100 // n_lines) || '% of lines end in a number']
+    {" ".join(f"when regexp_matches(heads, '(?i){x}') then ['{r}', 'heading: ' || regexp_extract(heads, '(?i)({x})', 1)]" for r, x in G.HEADINGS.items())}
+    when n_chars < 250 and n_lines <= 12 and 14 >= 9 * 1.8::double and big then ['divider', n_chars || ' characters under a large heading'] end as c from j)
+select doc_id, page_no, c[1] as reason, c[2] as why from c where c is not null""")
+def c11(spark, sf_dir):
+    pages = _table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"))
+    pages = pages.withColumn("page_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("page")))
+    lines = page_lines(spark, sf_dir).withColumnRenamed("page_no", "page").join(pages, ["doc_id", "page"])
+    return G.suggest_skips(pages.drop("page"), G.page_features(lines, pages.select("doc_id", F.lit(9.0).alias("body")).distinct())).select("doc_id", "page_no", "reason", "why")
+
+
+@query("a20_task_status", """with n as (select user_id as doc_id, arg_max(event_type, event_id) as state from events group by 1), p as (select user_id as doc_id, list(event_id order by event_id) as pages from events where event_type = 'purchase' group by 1)
+select doc_id, task_no::int as task_no, task, case when task = 'cover' and pages is not null then 'skipped' when task = 'contents' and state in ('view', 'click') then state else 'unchecked' end as state,
+coalesce(case when task = 'cover' then len(pages) end, 0)::int as n_pages, case when task = 'contents' and state in ('view', 'click') then 'm' else '' end as memo from n left join p using (doc_id) cross join (values (0, 'cover'), (1, 'contents'), (2, 'divider')) t(task_no, task)""")
+def a20(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), "event_id", "event_type")
+    skips = e.filter("event_type = 'purchase'").select("doc_id", F.col("event_id").cast("int").alias("page"), F.lit("cover").alias("reason"), F.lit(0).alias("rule_ord"))
+    notes = e.select("doc_id", F.lit("contents").alias("task"), F.col("event_type").alias("state"), F.lit("m").alias("memo"), F.col("event_id").alias("rule_ord"))
+    out = G.task_status(e.select("doc_id").distinct(), ["cover", "contents", "divider"], skips, notes, ("view", "click"))
+    return out.select("doc_id", "task_no", "task", "state", F.size("pages").alias("n_pages"), "memo")
+
+
+@query("a14_audit", """with u as (select user_id as doc_id, event_type <> 'click' as adopted, value > 50 as checked from events)
+select doc_id, count(*) as total, count(*) filter (adopted) as n_adopted, count(*) filter (checked) as n_checked, count(*) filter (checked or not adopted) as done, count(*) filter (not checked and adopted) as left_over from u group by 1""")
+def a14(spark, sf_dir):
+    u = _table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_type") != "click").alias("adopted"), (F.col("value") > 50).alias("checked"))
+    return G.audit(u.select("doc_id").distinct(), u)
+
+
+@query("s9_cache_state", "select c_custkey as doc_id, case when o.k is null then 'none' when o.n % 2 = 0 and c_nationkey % 2 = 0 then 'ok' else 'stale' end as state from customer left join (select o_custkey as k, count(*) as n from orders group by 1) o on o.k = c_custkey")
+def s9(spark, sf_dir):
+    docs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("mtime"), F.when(F.col("c_nationkey") % 2 == 0, "even").otherwise("odd").alias("sig"))
+    built = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg((F.count("*") % 2).alias("mtime"), F.lit("even").alias("sig"))
+    return files.cache_state(docs, built).select("doc_id", "state")
+
+
+# Steps that are folds, and the whole extraction; their tests hold them against plain loops.
+
+
+def _boxed(spark, sf_dir):
+    width = F.least(F.length("text") * F.lit(4.0), F.lit(250.0))
+    return page_lines(spark, sf_dir).withColumn("x1", F.col("x0") + width).withColumn("y1", F.col("y0") + F.lit(10.0))
+
+
+@query("w2_fragment_merge")
+def w2(spark, sf_dir):
+    """Pairs of lines lie in one row, the second where the first ends."""
+    rows = _boxed(spark, sf_dir).withColumn("y0", F.floor(F.col("ord") / 2) * F.lit(12.0)).withColumn("x0", F.when(F.col("ord") % 2 == 1, F.col("x0") + 255.0).otherwise(F.col("x0")))
+    return folds.merge_fragments(rows, P.join_gap).select("doc_id", "page_no", "ord", "text", "x0", "x1", "y0")
+
+
+@query("c5_duplicates_dropped")
+def c5(spark, sf_dir):
+    b = _boxed(spark, sf_dir).withColumnRenamed("text", "raw").withColumn("y0", F.floor(F.col("ord") / 4) * F.lit(12.0)).withColumn("y1", F.col("y0") + 10.0)
+    return folds.drop_duplicates(b).select("doc_id", "page_no", "ord", "raw", "size")
+
+
+@query("c4_table_rows", f"""with {LINES}, c as (select *, y0 + 5 as cy, case when x0 > 150 then 1 else 0 end as col, case when y0 + 5 >= 96 then 2 when y0 + 5 >= 36 then 1 else 0 end as "row" from l where y0 + 5 <= 150),
+t as (select doc_id, page_no, "row", col, string_agg(text, '' order by round_even(cy / size / 0.8::double, 0), x0, ord) as x from c group by 1, 2, 3, 4)
+select doc_id, page_no, 0::int as table_no, "row"::int as "row", string_agg(x, ' ' order by col) as raw from t group by 1, 2, 4""")
+def c4(spark, sf_dir):
+    rows = page_lines(spark, sf_dir).withColumn("x1", F.col("x0") + 100.0).withColumn("y1", F.col("y0") + 10.0)
+    edges = [0.0, 36.0, 96.0, 148.0]
+    cells = F.array(*(F.array(*map(F.lit, (x, a, y, b))) for a, b in zip(edges, edges[1:]) for x, y in ((0.0, 200.0), (200.0, 500.0))))
+    tables = rows.select("doc_id", "page_no").distinct().select("*", F.lit(0).alias("table_no"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(500.0).alias("x1"), F.lit(148.0).alias("y1"), cells.alias("cells"))
+    return T.table_rows(rows, T.usable(tables)).select("doc_id", "page_no", "table_no", "row", "raw")
+
+
+@query("c8_units_with_merges")
+def c8_edits(spark, sf_dir):
+    """Every 40th hit takes in the sentence three further on."""
+    rows = sentences(spark, sf_dir)
+    later = rows.select("doc_id", (F.col("ord") - 3).alias("ord"), F.col("sentence").alias("more"))
+    merges = rows.filter("ord % 40 = 0").join(later, ["doc_id", "ord"]).select("doc_id", F.col("page_no").alias("page"), F.col("sentence").alias("hit"), F.array("more").alias("add"), F.lit("same matter").alias("reason"), F.col("ord").alias("rule_ord"))
+    return folds.units_with_edits(rows, keyword_pattern(WORDS), merges, _excludes(rows))
+
+
+@query("c2_extract")
+def c2(spark, sf_dir):
+    """Every step from lines to sentences, pages and columns joined, with recorded exclusions."""
+    rows = _boxed(spark, sf_dir).withColumn("page_no", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("page_no")))
+    body = rows.select("doc_id").distinct().withColumn("body", F.lit(9.0))
+    rows = L.without_running(rows, L.running_lines(rows, P))
+    rules = {"excluded": _exclusions(rows).drop("at").withColumn("at", F.lit(None).cast("array<double>"))}
+    return X.sentences(X.blocks(rows, body, P, 595.0, rules=rules), p=P)
