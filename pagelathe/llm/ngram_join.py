@@ -76,10 +76,10 @@ def digests(text: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.
 def _sketch(width):
     def run(batches):
         for batch in batches:
-            ids, texts = column(batch, "doc_id"), column(batch, "text")
+            rows, ids, texts = column(batch, "row_id"), column(batch, "doc_id"), column(batch, "text")
             for row, buf, off in slices(texts):
                 n, a, b = digests(*shingles(Words(buf, off, True), width), len(off) - 1)
-                yield pa.RecordBatch.from_arrays([ids.slice(row, len(n)), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_shingles", "node", "check"])
+                yield pa.RecordBatch.from_arrays([rows.slice(row, len(n)), ids.slice(row, len(n)), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["row_id", "doc_id", "n_shingles", "node", "check"])
 
     return run
 
@@ -237,14 +237,22 @@ def boundary_by_cost(sets: DataFrame, percent: int) -> int:
     return min(cost, key=lambda x: (cost[x], x))
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, **how) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (smallest doc_id in reach; null for a row whose
     component has no doc_id)."""
+    return component_rows(docs, **how).select("doc_id", "n_shingles", "component_id")
+
+
+def component_rows(docs: DataFrame, width: int = 5, percent: int = 75, rounds: int = 2) -> DataFrame:
+    """jaccard_components with row_id (of the row in docs), and keep_row, that of the first row of the component by
+    (doc_id, nulls last, row_id). A row with an empty set is the first of its own."""
     spark = docs.sparkSession
     docs = pick(docs, "doc_id", "text")
-    sketch = materialize(docs.mapInArrow(_sketch(width), "doc_id long, n_shingles long, node long, check long"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
+    sketch = materialize(numbered.mapInArrow(_sketch(width), "row_id long, doc_id long, n_shingles long, node long, check long"))
     class_key = ["node", "check", "n_shingles"]
-    classes = materialize(sketch.filter("n_shingles > 0").groupBy(*class_key).agg(F.min("doc_id").alias("least")))
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_id")
+    classes = materialize(sketch.filter("n_shingles > 0").groupBy(*class_key).agg(F.min(rank).alias("least")))
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
 
     parts = partitions(spark, total, BUCKET)
@@ -282,15 +290,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
     roots = materialize(components(found))
 
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select(*class_key, "component_id")
-    linked = sketch.filter("n_shingles > 0").join(named, class_key).select("doc_id", "n_shingles", "component_id")
-    alone = sketch.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    least = named.groupBy("root").agg(F.min("least").alias("first"))
+    named = named.join(least, "root").select(*class_key, F.col("first.doc_id").alias("component_id"), F.col("first.row_id").alias("keep_row"))
+    columns = ["row_id", "doc_id", "n_shingles", "component_id", "keep_row"]
+    linked = sketch.filter("n_shingles > 0").join(named, class_key).select(*columns)
+    alone = sketch.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("keep_row", F.col("row_id")).select(*columns)
     return linked.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs without those that have a smaller doc_id in their component."""
-    found = jaccard_components(docs, **how)
-    stays = found.filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi")
+    """One row of each component of docs, with all columns: that of the smallest doc_id (nulls last), of equal ones the
+    first; rows with empty sets all stay. docs must come from a table: its rows are read more than once."""
+    stays = component_rows(docs, **how).filter("row_id = keep_row").select("row_id")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct("*").alias("doc"))
+    return numbered.join(stays, "row_id", "left_semi").select("doc.*")

@@ -77,6 +77,24 @@ def test_ngram_join(docs, boundary, monkeypatch):
     assert Counter(map(tuple, ngram_join.jaccard_components(docs).collect())) == want
 
 
+def test_one_of_each_by_rows(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(n))
+    first, second, third = text(60), text(60), text(60)
+    rows = [(None, text(40)), (None, text(40)), (None, first), (7, "x " + first), (7, first + " y"), (7, second), (3, second + " z"), (None, third + " w"), (None, third), (None, ""), (None, None), (9, ""), (9, " "), (8, text(40)), (8, text(40)), (None, second)]
+    rows = [(i, t, k) for k, (i, t) in enumerate(rows)]
+    spark.createDataFrame(rows, "doc_id long, text string, row_id int").coalesce(1).write.parquet(str(tmp_path / "t"))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(ascii_lower(t))) else set() for _, t, _ in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    want = [min((rows[k] for k in range(len(rows)) if group[k] == g), key=lambda r: (r[0] is None, r[0] or 0, r[2])) for g in set(group)]
+    got = ngram_join.one_of_each(spark.read.parquet(str(tmp_path / "t")))
+    assert len(want) == len(rows) - 5 and Counter(map(tuple, got.collect())) == Counter(want)
+
+
 def test_need_is_exact():
     for n in range(1, 40):
         for m in range(1, 40):
