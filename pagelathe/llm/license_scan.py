@@ -1,11 +1,16 @@
 """License scans by an exact set-similarity join, in DataFrame functions alone.
 
-Blocks are the lines of a text, as sets of words; templates are license statements, as sets of words. A block meets a template
-when it holds at least `threshold` of the template's words. Words are ordered by how many blocks of the corpus hold them, rarest
-first. A block that meets a template holds one of its first |T| - need + 1 words in that order (prefix filter), has at least
+Blocks are pieces of a text, as sets of words, whatever its line breaks: the paragraphs between blank lines, and windows of
+consecutive words, each of which overlaps the next by as many words as the longest template has, so that so many words in a row
+always lie in one window. Templates are license statements, as sets of words. A block meets a template when it holds at least
+`threshold` of the template's words. Words are ordered by how many blocks of the corpus hold them, rarest first. A block that
+meets a template holds one of its first |T| - need + 1 words in that order (prefix filter), has at least
 `need` words of the templates' vocabulary (length filter), and at the first common word both orders still have enough words left
 (positional filter). What passes is counted exactly. Only the templates, a fixed list, are broadcast.
 
+A text is cut into blocks only if it holds a phrase, or one of some |T| - need + 1 words of a template T, here its longest:
+without any of these it has too few words of T left, so this leaves out no block that meets T.
+
 Apart from that join, PHRASES are found where their words stand in a row, whatever stands between the words.
 
 Null text is empty: no words, no places, empty label lists, score 0. Repeated rows and repeated doc_ids are separate documents.
@@ -14,6 +19,8 @@ Only doc_id and text are read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +44,8 @@ TEMPLATES = [
 THRESHOLD = 0.9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD, GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+#: WORD before letters are made small.
+ANY_WORD, BLANK_LINE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"\n[\x20\x09\x0B-\x0D]*\n"
 
 
 def phrase_pattern(phrase: str) -> str:
@@ -54,17 +63,26 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     templates = _template_words(spark, threshold)
     vocabulary = sorted({w for r in templates.select("words").collect() for w in r["words"]})
-    low = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("low"))
+    wanted = templates.select("words", "need").collect()
+    signs = {w for r in wanted for w in sorted(r["words"], key=lambda w: (-len(w), w))[: len(r["words"]) - r["need"] + 1]}
+    loose = [rf"{ANY_WORD.replace('[^', '[')[:-1]}+".join(p.split()) for p in PHRASES]
+    candidate = "(?i)(?:" + "|".join([*sorted(signs), *loose]) + ")"
+    longest = max(len(re.findall("[A-Za-z0-9]+", text)) for _, text in TEMPLATES)
+    texts = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    low = texts.select("row_id", "doc_id", F.regexp_count("text", F.lit(ANY_WORD)).cast("long").alias("n_words"), F.when(F.col("text").rlike(candidate), F.translate("text", UPPER, LOWER)).otherwise("").alias("low"))
+    low = low.withColumn("all", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)))
     places = [F.regexp_count("low", F.lit(phrase_pattern(p))) for p in PHRASES]
     any_phrase = "(?:" + "|".join(phrase_pattern(p) for p in PHRASES) + ")"
     words_before = lambda text: F.regexp_count(text, F.lit(WORD)).cast("long")
     first = F.when(F.col("n_base") > 0, words_before(F.expr("substring(low, 1, at - 1)")))
     last = F.when(F.col("n_base") > 0, words_before(F.regexp_extract("low", rf"(?s)^(.*){any_phrase}", 1)))
-    in_line = lambda line: F.array_intersect(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), F.array(*map(F.lit, vocabulary)))
+    known = lambda words: F.array_intersect(words, F.array(*map(F.lit, vocabulary)))
+    paragraphs = F.transform(F.split("low", BLANK_LINE), lambda t: known(F.regexp_extract_all(t, F.lit(WORD), F.lit(0))))
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size("all") / longest).cast("int") - 2)), lambda k: known(F.slice("all", k * longest + 1, F.lit(2 * longest))))
     rows = low.withColumn("places", F.array(*places)).select(
-        "row_id", "doc_id", "low", words_before("low").alias("n_words"), F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_base"),
+        "row_id", "doc_id", "low", "n_words", F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_base"),
         F.array_sort(F.filter(F.array(*(F.when(F.col("places")[i] > 0, F.lit(label)) for i, label in enumerate(PHRASES.values()))), lambda x: x.isNotNull())).alias("base"),
-        F.filter(F.transform(F.split("low", "\n"), in_line), lambda s: F.size(s) > 0).alias("blocks"),
+        F.array_distinct(F.filter(F.concat(paragraphs, windows), lambda s: F.size(s) > 0)).alias("blocks"),
     )
     rows = rows.withColumn("at", F.when(F.col("n_base") > 0, F.regexp_instr("low", F.lit(any_phrase))))
     rows = materialize(rows.select("row_id", "doc_id", "n_words", "n_base", first.alias("first_word"), last.alias("last_word"), "base", "blocks"))

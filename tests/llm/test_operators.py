@@ -273,6 +273,23 @@ def test_license_scan(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    rng = random.Random(4)
+    notices, texts, want = [(n, t.split()) for n, t in license_scan.TEMPLATES], ["Permission is\nhereby granted.\n\nSoftware files."], [""]
+    for name, notice in notices:
+        for gap in ("\n", "\n * ", "\r\n# ", "\n\n"):
+            for before in (0, 7, 30, 200):
+                at = sorted(rng.sample(range(1, len(notice)), 2))
+                text = gap.join(" ".join(x) for x in (notice[: at[0]], notice[at[0] : at[1]], notice[at[1] :]))
+                texts.append(f"{'zig zag ' * before}{text}\n\nzig {'zag ' * before}")
+                want.append(name)
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        assert want[r["doc_id"]] in r["labels"].split(","), texts[r["doc_id"]]
+        assert set(r["labels"].split(",")) <= {want[r["doc_id"]], "gpl", "cc-by", "reserved"}, texts[r["doc_id"]]
+    assert len(got) == len(texts)
+
+
 def test_packing(docs, empty):
     path, ranks = queries.tokenizer_files()
     from tokenizers import Tokenizer
