@@ -74,7 +74,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     places = [F.regexp_count("low", F.lit(phrase_pattern(p))) for p in PHRASES]
     any_phrase = "(?:" + "|".join(phrase_pattern(p) for p in PHRASES) + ")"
     words_before = lambda text: F.regexp_count(text, F.lit(WORD)).cast("long")
-    first = F.when(F.col("n_base") > 0, words_before(F.expr("substring(low, 1, at - 1)")))
+    first = F.when(F.col("n_base") > 0, words_before(F.regexp_extract("low", rf"(?s)^(.*?){any_phrase}", 1)))
     last = F.when(F.col("n_base") > 0, words_before(F.regexp_extract("low", rf"(?s)^(.*){any_phrase}", 1)))
     known = lambda words: F.array_intersect(words, F.array(*map(F.lit, vocabulary)))
     paragraphs = F.transform(F.split("low", BLANK_LINE), lambda t: known(F.regexp_extract_all(t, F.lit(WORD), F.lit(0))))
@@ -84,7 +84,6 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.array_sort(F.filter(F.array(*(F.when(F.col("places")[i] > 0, F.lit(label)) for i, label in enumerate(PHRASES.values()))), lambda x: x.isNotNull())).alias("base"),
         F.array_distinct(F.filter(F.concat(paragraphs, windows), lambda s: F.size(s) > 0)).alias("blocks"),
     )
-    rows = rows.withColumn("at", F.when(F.col("n_base") > 0, F.regexp_instr("low", F.lit(any_phrase))))
     rows = materialize(rows.select("row_id", "doc_id", "n_words", "n_base", first.alias("first_word"), last.alias("last_word"), "base", "blocks"))
 
     blocks = rows.select("row_id", F.posexplode("blocks").alias("block", "words"))

@@ -273,6 +273,12 @@ def test_license_scan(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_scan_after_wide_characters(spark):
+    texts = ["\U0001F600\U0001F600\U0001F600 one cc by two cc by", "\U0001F600 \U0001F600 cc by", "one \U0001D54F\U0001D54F two\nall rights reserved \U0001F600"]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["first_word"], r["last_word"], r["n_base"]) for r in got] == [(2, 5, 2), (2, 2, 1), (3, 3, 1)]
+
+
 def test_license_scan_of_wrapped_notices(spark):
     rng = random.Random(4)
     notices, texts, want = [(n, t.split()) for n, t in license_scan.TEMPLATES], ["Permission is\nhereby granted.\n\nSoftware files."], [""]
