@@ -90,11 +90,11 @@ def _slots(seed, step=1 << 18):
     return run
 
 
-def plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, block_words: int = 64, seed: int = 1, shard_slots: int = 65_536):
-    """(sized, pieces, slots). sized: the documents' rows with size, source_size, target and their place; pieces: which
+def plan(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, block_words: int = 64, seed: int = 1, shard_slots: int = 65_536, keep: tuple = ()):
+    """(sized, pieces, slots). sized: the documents' rows with size, source_size, target and their place (and the columns keep); pieces: which
     words of which document each block has; slots: which block each slot of each shard takes."""
     spark = docs.sparkSession
-    sized = pick(docs, "doc_id", "source", "text").select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = pick(docs, "doc_id", "source", "text", *keep).select(*keep, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = materialize(sized)
     found = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
@@ -136,11 +136,17 @@ def taken_words(docs: DataFrame, **how) -> DataFrame:
     return sized.join(taken, PLACE, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def _plan_by_row(docs: DataFrame, **how):
+    """(numbered, pieces, slots): docs written as (row_id, doc), and the plan whose pieces have the row_id."""
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct("*").alias("doc")))
+    _, pieces, slots = plan(numbered.select("row_id", "doc.doc_id", "doc.source", "doc.text"), keep=("row_id",), **how)
+    return numbered, pieces, slots
+
+
 def mixed_blocks(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: one row for each piece of each slot (shard, source_no, slot, piece, doc_id, text)."""
-    _, pieces, slots = plan(docs, **how)
-    texts = pick(docs, "doc_id", "text").withColumn("size", F.regexp_count("text", F.lit(WORD)).cast("long")).dropDuplicates(["doc_id", "size"])
-    cut = pieces.join(texts.withColumnRenamed("doc_id", "_id").withColumnRenamed("size", "_size"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")))
+    numbered, pieces, slots = _plan_by_row(docs, **how)
+    cut = pieces.join(numbered.select("row_id", F.col("doc.text").alias("text")), "row_id")
     cut = cut.withColumn("text", F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("skip") + 1).cast("int"), F.col("words").cast("int")), " "))
     cut = cut.withColumn("piece", F.row_number().over(Window.partitionBy("source_no", "block").orderBy("place", "place_row")))
     return slots.join(cut.select("source_no", "block", "piece", "doc_id", "text"), ["source_no", "block"])
@@ -148,10 +154,10 @@ def mixed_blocks(docs: DataFrame, **how) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """docs after the mix: a document's text is the words of it that the mix takes, repeats included, in its order; one of
-    which nothing is taken goes. doc_id must be unique here; n_chars, where there is such a column, follows."""
-    _, pieces, slots = plan(docs, **how)
-    runs = used(pieces, slots).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*(F.col(n).cast("int").alias(n) for n in ("skip", "words", "times"))))).alias("_runs"))
-    both = docs.join(runs.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    which nothing is taken goes. Rows go by their own runs, whatever their doc_id; n_chars, where there is such a column, follows."""
+    numbered, pieces, slots = _plan_by_row(docs, **how)
+    runs = used(pieces, slots).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct(*(F.col(n).cast("int").alias(n) for n in ("skip", "words", "times"))))).alias("_runs"))
+    both = numbered.join(runs, "row_id").select("doc.*", "_runs")
     text = "array_join(flatten(transform(_runs, r -> flatten(array_repeat(slice(_words, r.skip + 1, r.words), r.times)))), ' ')"
     both = both.withColumn("_words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).withColumn("text", F.expr(text)).drop("_words", "_runs")
     return both.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else both.select(*docs.columns)

@@ -145,6 +145,26 @@ def test_source_mix(docs, empty):
     assert source_mix.taken_words(empty).count() == 0
 
 
+def test_mix_by_rows(spark):
+    ids = [None, None, None, 1, 1, 1, 2, 3]
+    sizes = [50, 90, 130, 70, 70, 110, 40, 200]
+    rows = [(i, " ".join(f"r{k}_{w}" for w in range(n)), "ab"[k % 2]) for k, (i, n) in enumerate(zip(ids, sizes))]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    how = {"block_words": 16, "weights": (3, 1), "share": 1.5, "most": 2}
+    want = Counter((r["doc_id"], r["size"], r["taken"]) for r in source_mix.taken_words(table, **how).collect() if r["taken"])
+    whole, pieces = defaultdict(Counter), defaultdict(Counter)
+    for r in source_mix.mixed_documents(table, **how).collect():
+        of = {w.split("_")[0] for w in words(r["text"])}
+        assert len(of) == 1 and not whole[(*of, r["doc_id"])]
+        whole[(*of, r["doc_id"])] = Counter(words(r["text"]))
+    for r in source_mix.mixed_blocks(table, **how).collect():
+        for w in words(r["text"]):
+            pieces[(w.split("_")[0], r["doc_id"])][w] += 1
+    for found in (whole, pieces):
+        assert all(max(c.values()) <= 2 and ids[int(k[1:])] == i for (k, i), c in found.items())
+        assert Counter((i, sizes[int(k[1:])], sum(c.values())) for (k, i), c in found.items()) == want
+
+
 def test_fill_and_permutation():
     assert source_mix.fill([100, 100, 100], [3, 1, 2], 1.5, 2) == pytest.approx([200, 250 / 3, 500 / 3])
     assert source_mix.fill([10, 1000], [3, 1], 1.5, 2) == [20, 1495]
