@@ -4,9 +4,8 @@ Blocks are pieces of a text, as sets of words, whatever its line breaks: the par
 consecutive words, each of which overlaps the next by as many words as the longest template has, so that so many words in a row
 always lie in one window. Templates are license statements, as sets of words. A block meets a template when it holds at least
 `threshold` of the template's words. Words are ordered by how many blocks of the corpus hold them, rarest first. A block that
-meets a template holds one of its first |T| - need + 1 words in that order (prefix filter), has at least
-`need` words of the templates' vocabulary (length filter), and at the first common word both orders still have enough words left
-(positional filter). What passes is counted exactly. Only the templates, a fixed list, are broadcast.
+meets a template holds one of its first |T| - need + 1 words in that order (prefix filter), and has at least
+`need` words of the templates' vocabulary (length filter). What passes is counted exactly. Only the templates, a fixed list, are broadcast.
 
 A text is cut into blocks only if it holds a phrase, or one of some |T| - need + 1 words of a template T, here its longest:
 without any of these it has too few words of T left, so this leaves out no block that meets T.
@@ -94,8 +93,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     least = templates.agg(F.min("need")).first()[0]
     entry = blocks.filter(F.size("words") >= least).select("row_id", "block", "words", F.explode("words").alias("word"))
     met = entry.join(F.broadcast(prefix), "word").filter("size(words) >= need")
-    # the first common word of both orders stands at `at` in the template: that many words of it are not in the block
-    met = met.groupBy("row_id", "block", "template", "label", "need", "size").agg(F.min("at").alias("at"), F.first("words").alias("words"), F.first("wanted").alias("wanted")).filter("size - at >= need")
+    met = met.groupBy("row_id", "block", "template", "label", "need", "size").agg(F.first("words").alias("words"), F.first("wanted").alias("wanted"))
     met = met.withColumn("common", F.size(F.array_intersect("words", "wanted"))).filter("common >= need")
     found = met.groupBy("row_id").agg(F.collect_set("label").alias("more"), F.max(F.col("common") / F.col("size")).alias("best"))
     both = rows.join(found, "row_id", "left")
