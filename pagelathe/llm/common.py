@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,43 +20,47 @@ SLICE_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set here only where the session names none, as in tests."""
+    """The folder that driver and executors share. Set here only where the session names none and has but one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="pagelathe-")
         spark.sparkContext.setCheckpointDir(own)
     return own.rstrip("/")
 
 
+#: Spark then drops the shuffle files of a query when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and a lost executor costs
-    only the tasks that it was running. The table goes when the driver's file system closes."""
+    only the tasks that it was running. Shuffle files of the write go when it ends, the table when the driver's file system closes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagelathe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    import gc
-    import time
-
-    for _ in range(2):  # Python's objects first, then the JVM's, which they hold
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+#: Most tasks of a shuffle; beyond, a task takes more buckets, one after another.
+MOST_REDUCERS = 20_000
 
 
-def partitions(spark: SparkSession, items: int, each: int) -> int:
-    """So many partitions that each holds about `each` items, and no fewer than the session shuffles to."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(items) // each))
+def reducers(spark: SparkSession, buckets: int) -> int:
+    """A task for each bucket, no more than MOST_REDUCERS, and no fewer than the session shuffles to."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, MOST_REDUCERS))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -143,6 +148,16 @@ def slices(texts: pa.Array):
         row = to
 
 
+def runs_of(texts: pa.Array, most: int):
+    """(first row, rows) of runs of at most `most` bytes; a longer text is a run of its own."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = 0
+    while row < len(texts):
+        to = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + most, side="right")))
+        yield row, to - row
+        row = to
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -165,13 +180,21 @@ def unpack(batches, *kinds: tuple[str, type]) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, kind) for x, (_, kind) in zip(got, kinds)]
 
 
-def planes(x: np.ndarray) -> np.ndarray:
-    """Integers as planes of bytes, lowest first: small numbers leave planes of zeros, which any codec packs away."""
-    return np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T)
-
-
-def unplaned(b: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(b.reshape(4, -1).T).view("<i4").reshape(-1)
+def bucket_runs(batches):
+    """From rows sorted by bucket, the rows of one bucket after another (as lists of batches): a task holds one bucket."""
+    now, held = None, []
+    for batch in batches:
+        b = column(batch, "bucket").to_numpy()
+        at = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(b)]
+        for lo, hi in zip(at[:-1], at[1:]):
+            if lo < hi:
+                if held and b[lo] != now:
+                    yield held
+                    held = []
+                now = b[lo]
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield held
 
 
 def by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,10 +241,11 @@ def pick(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*(F.col(f"`{n}`") for n in names))
 
 
-def running_start(df: DataFrame, group: list[str], value: str, tie: list[str], out: str, each: int = 20_000) -> DataFrame:
+def running_start(df: DataFrame, group: list[str], value: str, tie: list[str], out: str, each: int = 1_000, fan: int = 1_000) -> DataFrame:
     """Adds out: the sum of value over the rows before this one in its group, and out_chunk, out_row (its place, unique
-    in the group). The order is by a hash chunk, then by tie. Only the chunks' totals meet in one task for a group, so a
-    group with a third of all rows is dealt to as many tasks as any others."""
+    in the group). Columns of group hold no null. The order is by a hash chunk of about `each` rows, then by tie. Chunks' totals are summed in two steps (inside each
+    `fan` chunks, then over these), so a group with a third of all rows is dealt to as many tasks as any others, and no task
+    gets more than rows / (each * fan) totals. Rows equal in all of tie share a chunk."""
     rows = df.count()
     chunks = max(1, -(-rows // each))
     df = df.withColumn(f"{out}_chunk", F.pmod(F.xxhash64(*tie), F.lit(chunks)).cast("int"))
@@ -229,9 +253,12 @@ def running_start(df: DataFrame, group: list[str], value: str, tie: list[str], o
     inside = Window.partitionBy(*key).orderBy(*tie, value)
     df = df.withColumn(f"{out}_row", F.row_number().over(inside) - 1)
     df = df.withColumn("_in", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(value))
-    totals = df.groupBy(*key).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*group).orderBy(f"{out}_chunk").rowsBetween(Window.unboundedPreceding, 0)
-    totals = totals.withColumn("_before", F.sum("_sum").over(before) - F.col("_sum")).drop("_sum")
+    totals = df.groupBy(*key).agg(F.sum(value).alias("_sum")).withColumn("_fan", F.floor(F.col(f"{out}_chunk") / fan))
+    before = lambda by, at, what: F.sum(what).over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)) - F.col(what)
+    fans = totals.groupBy(*group, "_fan").agg(F.sum("_sum").alias("_all"))
+    fans = fans.withColumn("_outer", before(group, "_fan", "_all")).drop("_all")
+    totals = totals.withColumn("_before", before([*group, "_fan"], f"{out}_chunk", "_sum")).drop("_sum")
+    totals = totals.join(fans, [*group, "_fan"]).withColumn("_before", F.col("_before") + F.col("_outer")).drop("_fan", "_outer")
     return df.join(totals, key).withColumn(out, F.col("_before") + F.col("_in")).drop("_before", "_in")
 
 

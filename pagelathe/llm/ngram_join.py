@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_BASE, Words, binary, by_bucket, column, components, ids_of, materialize, mix, partitions, pick, release, slices, spans, unpack
+from .common import U64, WORD_BASE, Words, binary, bucket_runs, by_bucket, column, components, ids_of, materialize, mix, pick, reducers, slices, spans, unpack
 
 #: Largest light set that is ever considered; beyond it, subsets outnumber any list.
 MAX_LIGHT = 12
@@ -120,10 +120,8 @@ def _to_buckets(width, buckets, chunk=1 << 20):
 def _shared(buckets):
     """From a bucket's blocks to rows (bucket of nodes, ...) of the shingles that at least two nodes have."""
 
-    def run(batches):
+    def one(batches):
         h, node, n, c = unpack(batches, ("h", U64), ("node", np.int64), ("n", np.int32), ("c", np.int32))
-        if not len(h):
-            return
         owner = np.repeat(np.arange(len(node)), c)
         order = np.lexsort((node[owner], h))
         h, owner = h[order], owner[order]
@@ -142,13 +140,17 @@ def _shared(buckets):
             own, cnt = np.unique(o, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(binary([x]) for x in (h[lo:hi][inner], df[lo:hi][inner], node[own], n[own], cnt.astype(np.int32)))], names=["bucket", "h", "df", "node", "n", "c"])
 
+    def run(batches):
+        for bucket in bucket_runs(batches):
+            yield from one(bucket)
+
     return run
 
 
 def _sets(percent):
     """From the blocks of a bucket of nodes to one row a node that can have a partner."""
 
-    def run(batches):
+    def one(batches):
         h, df, node, n, c = unpack(batches, ("h", U64), ("df", np.int32), ("node", np.int64), ("n", np.int32), ("c", np.int32))
         node, n = np.repeat(node, c), np.repeat(n, c)
         order = np.lexsort((h, df, node))
@@ -166,6 +168,10 @@ def _sets(percent):
         if rows:
             yield _set_rows(rows)
 
+    def run(batches):
+        for bucket in bucket_runs(batches):
+            yield from one(bucket)
+
     return run
 
 
@@ -255,12 +261,12 @@ def component_rows(docs: DataFrame, width: int = 5, percent: int = 75, rounds: i
     classes = materialize(sketch.filter("n_shingles > 0").groupBy(*class_key).agg(F.min(rank).alias("least")))
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
 
-    parts = partitions(spark, total, BUCKET)
-    blocks = docs.select("text").mapInArrow(_to_buckets(width, parts), "bucket long, h binary, node binary, n binary, c binary")
-    shared = blocks.repartition(parts, "bucket").mapInArrow(_shared(parts), "bucket long, h binary, df binary, node binary, n binary, c binary")
-    sets = materialize(shared.repartition(parts, "bucket").mapInArrow(_sets(percent), "node long, n long, shared binary, prefix binary, scan long"))
-    del blocks, shared
-    release(spark)
+    buckets = max(1, -(-total // BUCKET))
+    parts = reducers(spark, buckets)
+    dealt = lambda rows: rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    blocks = docs.select("text").mapInArrow(_to_buckets(width, buckets), "bucket long, h binary, node binary, n binary, c binary")
+    shared = dealt(blocks).mapInArrow(_shared(buckets), "bucket long, h binary, df binary, node binary, n binary, c binary")
+    sets = materialize(dealt(shared).mapInArrow(_sets(percent), "node long, n long, shared binary, prefix binary, scan long"))
 
     boundary = boundary_by_cost(sets, percent)
     keys = sets.mapInArrow(_keys(percent, boundary), "key long, node long, n int, s int, i int")
