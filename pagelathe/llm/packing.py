@@ -14,40 +14,36 @@ Null text counts as empty: the end id alone. Rows that share a doc_id are separa
 from __future__ import annotations
 
 import re
-import sys
 import zlib
-from array import array
 from collections import defaultdict
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize, pick, running_start
+from .common import column, materialize, pick, running_start, runs_of
 
 #: Chunks whose ids a Python worker remembers before it starts anew.
 REMEMBERED = 600_000
+#: Text bytes encoded in one go; a longer text goes alone, whole.
+SLICE = 1 << 22
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-
-
-def packed(ids: list[int]) -> bytes:
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+#: A chunk that is empty or has white space of any script at an end.
+ODD = r"^$|^(?:[\x09-\x0D\x1C-\x20\x{85}]|\p{Z})|(?:[\x09-\x0D\x1C-\x20\x{85}]|\p{Z})$"
 
 
 class Ids:
     """Token ids of texts, equal to those of the tokenizer file. A single space between two visible characters always begins
-    a new pre-token, so texts fall into chunks there whose ids don't depend on what stands around; chunks recur, and are
-    looked up. With ranks (the same vocabulary as a rank file) new chunks go through the faster library."""
+    a new pre-token, so texts fall into chunks there whose ids don't depend on what stands around; chunks recur, and each is
+    encoded once. With ranks (the same vocabulary as a rank file) new chunks go through the faster library, joined to one text."""
 
-    def __init__(self, path: str, ranks: str | None = None):
+    def __init__(self, path: str, ranks: str | None = None, end: int = 0):
         from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.slow, self.end = Tokenizer.from_file(path), end
         self.fast = None
         self.special = [str(t.content) for t in self.slow.get_added_tokens_decoder().values()]
         if ranks:
@@ -59,48 +55,117 @@ class Ids:
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.known: dict[str, bytes] = {}
-
-    def _new(self, chunks: list[str]):
-        if self.fast is None:
-            return [e.ids for e in self.slow.encode_batch(chunks, add_special_tokens=False)]
-        return [self.slow.encode(c, add_special_tokens=False).ids if any(s in c for s in self.special) else self.fast.encode_ordinary(c) for c in chunks]
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts = [t.split(" ") for t in texts]
-        new = set(chain.from_iterable(p[1:] for p in parts)) - self.known.keys()
-        odd = {c for c in new if not c or c[0].isspace() or c[-1].isspace()}
-        if odd or any(not p[0] or p[0][-1].isspace() for p in parts):
-            parts = [p if p[0] and not p[0][-1].isspace() and odd.isdisjoint(p) else BETWEEN.split(t) for p, t in zip(parts, texts)]
-            new = set(chain.from_iterable(p[1:] for p in parts)) - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set(chain.from_iterable(p[1:] for p in parts))
-        new = list(new)
-        self.known.update(zip(new, map(packed, self._new([" " + c for c in new]))))
-        heads = map(packed, self._new([p[0] for p in parts]))
-        get = self.known.__getitem__
-        return [h + b"".join(map(get, p[1:])) for h, p in zip(heads, parts)]
+            self.bytes_of = np.zeros(max(table.values()) + 1, np.int64)
+            self.bytes_of[list(table.values())] = [len(k) for k in table]
+        self._forget()
+
+    def _forget(self):
+        """Chunk k (a space and known[k]) has the ids arena[start[k] : start[k] + size[k]]; the last k is the end id."""
+        self.known = pa.array([], pa.large_string())
+        self.heads: dict[str, np.ndarray] = {}
+        self.arena, self.start, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _one(self, text: str) -> np.ndarray:
+        if self.fast is None or any(s in text for s in self.special):
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.fast.encode_ordinary(text), "<u4")
+
+    def _learn(self, new: pa.Array) -> None:
+        """Chunks that hold no special token are encoded as one text, and parted by their bytes."""
+        alone = np.full(len(new), self.fast is None)
+        for s in self.special:
+            alone |= pc.match_substring(new, s).to_numpy(zero_copy_only=False)
+        joint, alone = new.filter(pa.array(~alone)), new.filter(pa.array(alone))
+        ids, size = [self.arena], [self.size]
+        if len(joint):
+            got = np.array(self.fast.encode_ordinary(" " + " ".join(joint.to_pylist())), "<u4")
+            ends = np.cumsum(self.bytes_of[got])
+            want = np.cumsum(pc.binary_length(joint).to_numpy() + 1)
+            at = np.searchsorted(ends, want) + 1
+            if not np.array_equal(ends[at - 1], want):
+                raise ValueError("a token spans two chunks")
+            ids.append(got)
+            size.append(np.diff(at, prepend=0))
+        for c in alone.to_pylist():
+            ids.append(self._one(" " + c))
+            size.append(np.array([len(ids[-1])]))
+        self.known = pa.concat_arrays([self.known, joint, alone])
+        self.arena, self.size = np.concatenate(ids), np.concatenate(size)
+        self.start = np.cumsum(self.size) - self.size
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        at = pc.index_in(words, value_set=self.known)
+        if at.null_count:
+            new = words.filter(at.is_null())
+            if len(self.known) + len(new) > REMEMBERED:
+                self._forget()
+                new = words
+            self._learn(new)
+            at = pc.index_in(words, value_set=self.known)
+        return at.to_numpy().astype(np.int64)
+
+    def _assembled(self, offsets: np.ndarray, words: pa.Array, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts whose chunks are words[code[offsets[i] : offsets[i + 1]]]; the first has no space before it."""
+        own = self._numbers(words)[code]
+        heads = words.take(pa.array(code[offsets[:-1]])).to_pylist()
+        firsts = [self.heads[h] if h in self.heads else self.heads.setdefault(h, self._one(h)) for h in heads]
+        extra = np.concatenate([*firsts, np.array([self.end], "<u4")])
+        length = np.array([len(x) for x in firsts] + [1], np.int64)
+        arena, size = np.concatenate((self.arena, extra)), np.concatenate((self.size, length))
+        start = np.concatenate((self.start, len(self.arena) + np.cumsum(length) - length))
+        own[offsets[:-1]] = len(self.size) + np.arange(len(heads))
+        own = np.insert(own, offsets[1:], len(size) - 1)
+        each = size[own]
+        ends = np.cumsum(each)
+        ids = arena[np.repeat(start[own] - ends + each, each) + np.arange(ends[-1])]
+        return ids, np.concatenate(([0], ends))[offsets + np.arange(len(offsets))]
+
+    def of(self, texts: pa.Array) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text (no nulls), with the end id."""
+        if len(self.heads) > REMEMBERED:
+            self.heads.clear()
+        pieces = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        offsets, flat = pieces.offsets.to_numpy().astype(np.int64), pieces.flatten().dictionary_encode()
+        offsets, code = offsets - offsets[0], flat.indices.to_numpy()
+        odd = pc.match_substring_regex(flat.dictionary, ODD).to_numpy(zero_copy_only=False)
+        strange = np.logical_or.reduceat(odd[code], offsets[:-1]) if odd.any() else np.zeros(len(texts), bool)
+        out: list = [None] * len(texts)
+        if strange.any():
+            parts = [BETWEEN.split(t) for t in texts.filter(pa.array(strange)).to_pylist()]
+            again = pa.array(list(chain.from_iterable(parts)), pa.large_string()).dictionary_encode()
+            bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+            self._put(out, np.flatnonzero(strange), bounds, again.dictionary, again.indices.to_numpy())
+            count = np.diff(offsets)
+            code, count = code[np.repeat(~strange, count)], count[~strange]
+            offsets = np.concatenate(([0], np.cumsum(count)))
+            used, code = np.unique(code, return_inverse=True)
+            self._put(out, np.flatnonzero(~strange), offsets, flat.dictionary.take(pa.array(used)), code)
+        else:
+            self._put(out, np.arange(len(texts)), offsets, flat.dictionary, code)
+        return out
+
+    def _put(self, out, rows, offsets, words, code):
+        if len(rows):
+            ids, bounds = self._assembled(offsets, words, code)
+            for i, lo, hi in zip(rows, bounds[:-1], bounds[1:]):
+                out[i] = ids[lo:hi]
 
 
 def _pieces(path, ranks, window, end, with_ids):
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
+
     def run(batches):
-        ids = Ids(path, ranks)
-        last = np.array([end], "<u4").tobytes()
+        ids = Ids(path, ranks, end)
         for batch in batches:
-            names, texts = column(batch, "doc_id"), column(batch, "text")
-            for lo in range(0, len(names), 200):
+            docs, texts = column(batch, "doc_id"), column(batch, "text").fill_null("")
+            for lo, n in runs_of(texts, SLICE):
                 rows = []
-                some = [t or "" for t in texts.slice(lo, 200).to_pylist()]
-                for name, got in zip(names.slice(lo, 200).to_pylist(), ids.of(some)):
-                    got += last
-                    n = len(got) // 4
-                    for at in range(0, n, window):
-                        piece = got[4 * at : 4 * (at + window)]
-                        rows.append((name, at, len(piece) // 4, zlib.crc32(piece), n, *([piece] if with_ids else [])))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids])
+                for name, got in zip(docs.slice(lo, n).to_pylist(), ids.of(texts.slice(lo, n))):
+                    for at in range(0, len(got), window):
+                        piece = got[at : at + window]
+                        rows.append((name, at, len(piece), zlib.crc32(piece), len(got), *([piece.tobytes()] if with_ids else [])))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names[: 5 + with_ids])
 
     return run
 
