@@ -106,29 +106,40 @@ def test_need_is_exact():
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=6)], i) for i in range(230)]
-    rows += [(230 + i, rows[50][1], 0) for i in range(9)] + [(300, None, 0), (350, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (400, [float("nan")] * 6, 0), (450, [1e18] * 6, 0), (500, [1.0, 2.0], 0), (501, [3.0, 1.0], 0), (None, [1.0] * 6, 0), (550, [], 0), (7, rows[7][1], 0)]
+    rows += [(230 + i, rows[50][1], 0) for i in range(9)] + [(300, None, 0), (350, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (400, [float("nan")] * 6, 0), (450, [1e18] * 6, 0), (451, [1e18 - 1e3] * 5 + [-3.0], 0), (452, [-1e200] * 6, 0), (500, [1.0, 2.0], 0), (501, [3.0, 1.0], 0), (None, [1.0] * 6, 0), (550, [], 0), (7, rows[7][1], 0), (100, [-9.0] * 6, 0)]
     whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    queries = {}
+    for i, v in whole:
+        if i % 50 == 0:
+            queries[i] = min(v, queries.get(i, v))
     want = Counter()
-    for q, a in {i: v for i, v in whole if i % 50 == 0}.items():
+    for q, a in queries.items():
         best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q and len(a) == len(b))[:5]
-        want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best) if abs(s) < 2**63)
-    table = spark.createDataFrame([(i, v, x) for i, v, x in rows if i != 450], "vec_id long, embedding array<double>, label int")
-    want = Counter()
-    whole = [(i, v) for i, v in whole if i != 450]
-    for q, a in {i: v for i, v in whole if i % 50 == 0}.items():
-        best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q and len(a) == len(b))[:5]
-        want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
+        want.update((q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
     assert Counter(map(tuple, exact_topk.top_k(table).collect())) == want
     assert exact_topk.top_k(table.limit(0)).count() == 0
 
 
-def test_top_k_reads_few_vectors():
+def test_top_k_reads_few_vectors(spark):
     rng = np.random.default_rng(1)
-    v = np.floor(256 * rng.normal(size=(2000, 16)))
-    q = v[3:4]
-    low, high = exact_topk.Cells(v).bounds(q)
-    exact = v @ q[0]
-    assert (low[0] <= exact).all() and (exact <= high[0]).all()
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 16)))], "vec_id long, embedding array<double>")
+    found, read = exact_topk.search(table)
+    assert found.count() == 60 * 5 and read.count() < 60 * 3000 // 50
+
+
+def test_cells_bound_the_product():
+    rng = np.random.default_rng(1)
+    for size in (1.0, 1e6, 1e30):
+        v = np.floor(256 * size * rng.normal(size=(500, 16)))
+        low, high = exact_topk.Cells(v).bounds(v[:20])
+        exact = np.array([[sum(int(a) * int(b) for a, b in zip(x, y)) for y in v] for x in v[:20]], object)
+        assert (low <= exact).all() and (exact <= high).all()
+
+
+def test_sortable():
+    numbers = [-(10**40), -(10**19) - 1, -(10**19), -101, -100, -99, -10, -9, -1, 0, 1, 9, 10, 99, 10**19, 10**40]
+    assert sorted(numbers, key=exact_topk._sortable) == numbers
 
 
 def test_source_mix(docs, empty):
