@@ -1,14 +1,18 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
 Text is folded first: case, homoglyphs (letters of other scripts and accents that look like Latin ones stay apart unless listed),
-digits and signs that stand for letters; what is no letter becomes one space. An entry matches at the start of a word. Entries
-are learned: beginnings of words (4 to MAX_ENTRY letters) that toxic documents have far more often than others, by document
-counts over at most `sample` labelled rows, with the log odds as weight; of the beginnings of one word, the longest that keeps nearly all its
-documents stands for the rest. SEED adds general insults that need no training. A match inside an exception phrase doesn't count.
-The score is a logistic function of the summed weight and of that weight per word (length normalised), fitted on the same rows.
+digits and signs that stand for letters; what is no letter becomes one space. An entry matches a whole word, or (with a star)
+the start of one. Entries are learned from at most `sample` labelled rows: every word of at least 4 letters, whole, and besides its
+beginnings of STEMS letters, that toxic documents have more often than others. The evidence is relative: the chance of counts as far
+from the labels' shares (Chernoff's bound) must be under one in all the words and beginnings tried (Tarone's rule: those too rare to
+pass at all don't count), so less than one entry is expected to be there by chance; no count of documents or entries is fixed.
+Copies of a text count once. The smoothed log odds are the weight; of words and beginnings that say the same, the
+longest that keeps nearly all documents of a beginning stands for the rest. SEED adds general insults that need no
+training. A match inside an exception phrase doesn't count. The score is a logistic function of the summed weight and of that weight per word (length normalised), fitted on the same rows.
 
 Null and empty texts score like a text without a match. Without labelled rows of both kinds the seed list scores
-alone. Repeated rows score alike. A score reads the text alone.
+alone. Repeated rows score alike. A score reads the text alone, the whole of it, in time proportional to its length. The lexicon's size is
+bounded by the words of the toxic documents in the sample.
 """
 
 from __future__ import annotations
@@ -21,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import adam, bounded_sample, column, pick, sigmoid
+from .common import adam, bounded_sample, column, materialize, pick, sigmoid
 
-SAMPLE, MAX_ENTRY, MAX_ENTRIES, LEAST_DOCS, LEAST_ODDS = 20_000, 12, 500, 8, 3.0
+SAMPLE, LEAST_ODDS = 20_000, 2.0
+#: Lengths of the beginnings that are tried besides whole words.
+STEMS = range(4, 13)
 #: General insults, phrases in which such a word is harmless, and characters that stand for letters.
 SEED = "idiot moron stupid imbecile scum loser worthless pathetic disgusting trash clown retard bastard bitch asshole".split()
 EXCEPTIONS = ["trash can", "trash bin", "clown fish", "trash collection", "clown car", "idiot proof"]
@@ -38,35 +44,57 @@ def fold(text: str) -> str:
     return " " + OTHER.sub(" ", text.lower().translate(FOLD)) + " "
 
 
-def _beginnings(batches):
+def _evidence(batches):
+    """Words (whole) and their beginnings (with a star) of each labelled document, each once."""
     for batch in batches:
         label, entry = [], []
         for y, text in zip(column(batch, "label").to_pylist(), column(batch, "text").to_pylist()):
-            words = set(fold(text or "").split())
-            found = {w[:n] for w in words for n in range(4, min(len(w), MAX_ENTRY) + 1)}
+            words = {w for w in fold(text or "").split() if len(w) >= STEMS[0]}
+            found = words | {w[:n] + "*" for w in words for n in STEMS if n <= len(w)}
             entry += found
             label += [y] * len(found)
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(entry, pa.string())], names=["label", "entry"])
 
 
-def choose(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Entries and weights from (beginning, toxic documents, other documents)."""
-    docs = {e: p for e, p, _ in rows}
-    odds = {e: float(np.log((p + 0.5) / (toxic + 1)) - np.log((n + 0.5) / (clean + 1))) for e, p, n in rows}
+def evidence(p, n, toxic: int, clean: int):
+    """Columns: smoothed log odds of an entry in toxic against other documents, and minus the log of the chance of its counts."""
+    odds = F.log((p + F.lit(0.5)) / (toxic + 1)) - F.log((n + F.lit(0.5)) / (clean + 1))
+    far = lambda x, share: F.when(x > 0, x * F.log(x / ((p + n) * F.lit(share)))).otherwise(0.0)
+    return odds, far(p, toxic / (toxic + clean)) + far(n, clean / (toxic + clean))
+
+
+def tried(by_docs: dict[int, int], toxic: int, clean: int) -> float:
+    """The entries that could pass, were all their documents toxic; by_docs: entries by their number of documents."""
+    best = float(np.log((toxic + clean) / toxic))
+    for docs in sorted(by_docs):
+        many = sum(c for k, c in by_docs.items() if k >= docs)
+        if docs * best >= np.log(many):
+            return float(many)
+    return float(max(1, sum(by_docs.values())))
+
+
+def choose(rows: list[tuple[str, int, float]]) -> dict[str, float]:
+    """Entries and weights from (word or beginning with a star, toxic documents, log odds). A beginning goes where a longer one keeps
+    nearly all its documents; what a kept beginning covers goes."""
+    docs, odds = {e: p for e, p, _ in rows}, {e: o for e, _, o in rows}
     longer: dict[str, int] = {}
     for e, p in docs.items():
-        longer[e[:-1]] = max(p, longer.get(e[:-1], 0))
-    out = {}
-    for e in sorted(docs):
-        if longer.get(e, 0) >= 0.95 * docs[e] or any(e[:n] in out for n in range(4, len(e))):
+        if e.endswith("*"):
+            longer[e[:-2]] = max(p, longer.get(e[:-2], 0))
+    out: dict[str, float] = {}
+    for e in sorted(docs, key=lambda e: (e.rstrip("*"), not e.endswith("*"))):
+        word = e.rstrip("*")
+        if e.endswith("*") and (longer.get(word, 0) >= 0.95 * docs[e] or docs.get(word, 0) >= 0.95 * docs[e]):
+            continue
+        if any(word[:n] + "*" in out for n in range(STEMS[0], len(word))) or (not e.endswith("*") and e + "*" in out):
             continue
         out[e] = odds[e]
-    return dict(sorted(out.items(), key=lambda x: (-x[1] * docs[x[0]], x[0]))[:MAX_ENTRIES])
+    return out
 
 
 class Lexicon:
     def __init__(self, entries: dict[str, float]):
-        self.entries = {e: SEED_WEIGHT for e in SEED} | entries
+        self.entries = {e + "*": SEED_WEIGHT for e in SEED} | entries
         self.automaton = None
 
     def __getstate__(self):
@@ -76,7 +104,10 @@ class Lexicon:
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
             for e, w in self.entries.items():
-                self.automaton.add_word(" " + e, (len(e) + 1, w, e))
+                if e.endswith("*"):
+                    self.automaton.add_word(" " + e[:-1], (len(e), w, e))
+                else:
+                    self.automaton.add_word(f" {e} ", (len(e) + 2, w, e))
             for e in EXCEPTIONS:
                 self.automaton.add_word(" " + e + " ", (len(e) + 2, None, e))
             self.automaton.make_automaton()
@@ -85,13 +116,21 @@ class Lexicon:
     def hits(self, text: str | None) -> tuple[list[str], float, int]:
         """(entries found, their weight, words)."""
         folded = fold(text or "")
-        found, harmless = {}, []
+        found: dict[int, tuple[str, float]] = {}
+        harmless = []
         for end, (n, w, e) in self.build().iter(folded):
+            at = end - n + 1
             if w is None:
-                harmless.append((end - n + 1, end))
-            elif end - n + 1 not in found or found[end - n + 1][1] < w:
-                found[end - n + 1] = (e, w)
-        good = [x for at, x in found.items() if not any(lo <= at < hi for lo, hi in harmless)]
+                harmless.append((at, end))
+            elif at not in found or found[at][1] < w:
+                found[at] = (e, w)
+        good, reach, phrases = [], -1, iter(sorted(harmless))
+        phrase = next(phrases, None)
+        for at in sorted(found):  # both in order of place
+            while phrase and phrase[0] <= at:
+                reach, phrase = max(reach, phrase[1]), next(phrases, None)
+            if at >= reach:
+                good.append(found[at])
         return [e for e, _ in good], sum(w for _, w in good), folded.count(" ") - 1
 
 
@@ -120,12 +159,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """labels: (doc_id, label 0 or 1)."""
     known = F.broadcast(bounded_sample(labels, sample))
     rows = pick(docs, "doc_id", "text").join(known, "doc_id").select(F.col("label").cast("int").alias("label"), "text")
-    kinds = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    texts = materialize(rows.filter("text is not null").distinct())
+    kinds = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     toxic, clean = kinds.get(1, 0), kinds.get(0, 0)
-    counts = rows.mapInArrow(_beginnings, "label int, entry string").groupBy("entry").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    odds = F.log((F.col("p") + 0.5) / (toxic + 1)) - F.log((F.col("n") + 0.5) / (clean + 1))
-    strong = counts.filter((F.col("p") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).orderBy(F.desc("p"), "n", "entry").limit(20 * MAX_ENTRIES)
-    lexicon = Lexicon(choose([(r["entry"], r["p"], r["n"]) for r in strong.collect()], toxic, clean) if toxic and clean else {})
+    counts = texts.mapInArrow(_evidence, "label int, entry string").groupBy("entry").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
+    strong: list = []
+    if toxic and clean:
+        counts = materialize(counts)
+        many = tried({r["k"]: r["count"] for r in counts.groupBy((F.col("p") + F.col("n")).alias("k")).count().collect()}, toxic, clean)
+        odds, sure = evidence(F.col("p"), F.col("n"), toxic, clean)
+        strong = counts.withColumn("odds", odds).filter((F.col("odds") >= LEAST_ODDS) & (sure >= float(np.log(many)))).collect()
+    lexicon = Lexicon(choose([(r["entry"], r["p"], r["odds"]) for r in strong]))
     got = rows.mapInArrow(_measured(lexicon), "label int, weight double, words long").collect()
     if not (toxic and clean):
         return Model(lexicon, np.array([2.0, 1.0]), -3.0)

@@ -244,14 +244,49 @@ def test_toxicity(spark, docs, empty):
     rows = [(i, " ".join([rng.choice(["lorem", "ipsum", "dolor", "amet"]) for _ in range(40)] + ["grumfox" + rng.choice("abc")] * (i % 3 == 0)), int(i % 3 == 0)) for i in range(150)]
     table = spark.createDataFrame(rows, "doc_id long, text string, label int")
     model = toxicity.train(table, table.select("doc_id", "label"))
-    assert "grumfox" in model.lexicon.entries
+    assert "grumfox*" in model.lexicon.entries
     got = {r["doc_id"]: r["score"] for r in toxicity.score(table, model).collect()}
     assert all((got[i] >= 0.5) == bool(y) for i, _, y in rows)
-    assert model.lexicon.hits("what an 1d10t")[0] == ["idiot"] and model.lexicon.hits("take the trash can out")[0] == [] and model.lexicon.hits("ѕtupіd!")[0] == ["stupid"]
+    assert model.lexicon.hits("what an 1d10t")[0] == ["idiot*"] and model.lexicon.hits("take the trash can out")[0] == [] and model.lexicon.hits("ѕtupіd!")[0] == ["stupid*"]
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs, model).collect())
     assert toxicity.score(empty, toxicity.train(empty, empty.select("doc_id", F.lit(1).alias("label")))).count() == 0
 
 
+def test_toxicity_matcher_against_brute_force():
+    rng = random.Random(6)
+    lexicon = toxicity.Lexicon({"zonk": 2.0, "zonkers*": 3.0, "abcdefghijklmnopqrst": 5.0, "grum*": 1.5, "grumble": 4.0, "trash can*": 1.0})
+    words = ["zonk", "Z0NK", "zonkers", "zonkersx", "trash", "can", "bin", "clown", "fish", "car", "idiot", "proof", "1diot", "grum", "grumble", "grumbles", "abcdefghijklmnopqrst", "abcdefghijklmnopqrstu", "x", ",", "42"]
+    for _ in range(300):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))
+        folded = toxicity.fold(text)
+        inside = {i for e in toxicity.EXCEPTIONS for i in range(len(folded)) if folded.startswith(f" {e} ", i) for i in range(i, i + len(e) + 1)}
+        weight, n = 0.0, 0
+        for i, c in enumerate(folded):
+            here = [w for e, w in lexicon.entries.items() if folded.startswith(" " + e[:-1] if e.endswith("*") else f" {e} ", i)]
+            if here and i not in inside:
+                weight, n = weight + max(here), n + 1
+        got = lexicon.hits(text)
+        assert len(got[0]) == n and got[1] == pytest.approx(weight), text
+
+
+def test_toxicity_time_is_linear():
+    import time
+
+    lexicon = toxicity.Lexicon({})
+    begin = time.time()
+    assert lexicon.hits("trash can idiot " * 100_000)[0] == ["idiot*"] * 100_000
+    assert time.time() - begin < 10
+
+
+def test_toxicity_learns_from_few_labels(spark):
+    rng = random.Random(9)
+    plain = lambda: " ".join(rng.choice(["lorem", "ipsum", "dolor", "amet"]) for _ in range(30))
+    rows = [(i, plain() + (" internationalisationisms" if i < 4 else ""), int(i < 4)) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(table, toxicity.train(table, table.select("doc_id", "label"))).collect()}
+    assert all((got[i] >= 0.5) == (i < 4) for i in got)
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(4)
     good = lambda: "\n".join(" ".join(rng.choice(["the", "river", "runs", "slowly", "over", "stones"]) for _ in range(12)) + "." for _ in range(4))
