@@ -10,6 +10,10 @@ document more than `most` times. Slots and blocks then join by (source, block in
 The driver holds the sources' totals and the shards' counts (at most MAX_SHARDS by the number of sources), never documents.
 All draws are keyed by the seed and by stable ids: reruns agree.
 
+Words are taken in blocks (`block_words`, 64 by default), so a source ends within one block of its target, times 2 where
+its last block is short: exact enough for any source of some hundred words, coarse for smaller ones. MAX_SHARDS only bounds the
+number of output shards; larger mixes have larger shards.
+
 Null text has no words and is never drawn. A null source is a source of its own and comes last. Rows that share a doc_id
 are separate documents. Other columns don't matter, whatever their names.
 """
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,12 +157,31 @@ def mixed_blocks(docs: DataFrame, **how) -> DataFrame:
     return slots.join(cut.select("source_no", "block", "piece", "doc_id", "text"), ["source_no", "block"])
 
 
+def _cut(names):
+    """Rows (doc, runs) to documents whose text is the words that the runs take."""
+
+    def run(batches):
+        for batch in batches:
+            doc = column(batch, "doc")
+            cells = dict(zip(names, doc.flatten()))
+            out = []
+            for text, runs in zip(cells["text"], column(batch, "runs").to_pylist()):
+                words, taken = text.as_buffer().to_pybytes().split(), []
+                for r in runs:
+                    taken += words[r["skip"] : r["skip"] + r["words"]] * r["times"]
+                out.append(b" ".join(taken))
+            cells["text"] = pa.array(out, pa.binary()).cast(pa.string())
+            if "n_chars" in cells:
+                cells["n_chars"] = pc.utf8_length(cells["text"]).cast(cells["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(cells.values()), names=names)
+
+    return run
+
+
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """docs after the mix: a document's text is the words of it that the mix takes, repeats included, in its order; one of
-    which nothing is taken goes. Rows go by their own runs, whatever their doc_id; n_chars, where there is such a column, follows."""
+    which nothing is taken goes. Rows go by their own runs, whatever their doc_id, with all columns, whatever their names;
+    n_chars, where there is such a column, follows."""
     numbered, pieces, slots = _plan_by_row(docs, **how)
-    runs = used(pieces, slots).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct(*(F.col(n).cast("int").alias(n) for n in ("skip", "words", "times"))))).alias("_runs"))
-    both = numbered.join(runs, "row_id").select("doc.*", "_runs")
-    text = "array_join(flatten(transform(_runs, r -> flatten(array_repeat(slice(_words, r.skip + 1, r.words), r.times)))), ' ')"
-    both = both.withColumn("_words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).withColumn("text", F.expr(text)).drop("_words", "_runs")
-    return both.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else both.select(*docs.columns)
+    runs = used(pieces, slots).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct(*(F.col(n).cast("int").alias(n) for n in ("skip", "words", "times"))))).alias("runs"))
+    return numbered.join(runs, "row_id").select("doc", "runs").mapInArrow(_cut(docs.columns), docs.schema)
