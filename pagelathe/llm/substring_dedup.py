@@ -8,7 +8,8 @@ A block is indexed by prefix doubling: ranks of 1, 2, 4, ... words give the orde
 Each of its segments is then factored greedily: at the first window that occurs at another place, the longest match is found by
 extending word by word along the neighbours in that order; where the factor ends, the windows that straddle its end are
 looked up on their own before the next begins. So the union of the factors is exactly the words covered by a window that
-also starts anywhere else. Factors of neighbouring segments that follow one place are glued. Hashes only deal; words decide.
+also starts anywhere else. Of equal segments the first by (doc_id, hash of the text, place) is the place to follow, so that
+neighbouring segments follow one; their factors are glued. A factor is thus the longest in each block that it crosses. Hashes only deal; words decide.
 
 Equal segments of a task are settled there, and one goes on: a passage found in a third of all documents costs a row a task.
 Blocks are taken one after another, in sorted order, and a task holds one. A block that outgrows `limit` words is dealt again by
@@ -108,6 +109,8 @@ def _deal(width: int, k: int, buckets: int, source):
 
     def out(held, texts):
         a = _joined(held)
+        order = np.lexsort((a["pos"], a["text_hash"], a["doc"]))
+        a, texts = {c: x[order] for c, x in a.items()}, [texts[i] for i in order.tolist()]
         _, group, times = np.unique(a["seed"], return_inverse=True, return_counts=True)
         first, keep, twin = {}, np.ones(len(texts), bool), {}
         for i in np.flatnonzero(times[group] > 1).tolist():
@@ -216,13 +219,15 @@ class Index:
             at = self.places[now]
             a, b = self.match(at, self.next[now]), self.match(at, self.last[now])
             n = np.maximum(a, b)
-            found.append((at, n, np.where(a >= b, self.next[now], self.last[now])))
+            found.append((at, n, np.where(a > b, self.next[now], self.last[now])))
             now = np.searchsorted(self.places, at + n - self.width + 1)  # the first window over the factor's end
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
 
 
 def settle(a: dict, texts: list[bytes], width: int) -> dict:
     """The factors of a block's segments; a has their arrays."""
+    order = np.lexsort((a["pos"], a["text_hash"], a["doc"]))
+    a, texts = {c: x[order] for c, x in a.items()}, [texts[i] for i in order.tolist()]
     first, twin, distinct = {}, {}, []
     for i, t in enumerate(texts):
         j = first.setdefault(t, i)
