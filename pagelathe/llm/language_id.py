@@ -95,23 +95,36 @@ def fit(rows: list[tuple[str, bytes]], turns: int = 120) -> Model:
     return Model(languages, code, w, b, np.maximum(0.05, 2 * right - 1))
 
 
+def predicted(model: Model, texts: list, sure: float) -> tuple[list, list, list]:
+    """(language, score, ambiguous) of each text."""
+    lang, score = [], []
+    for lo in range(0, len(texts), 256):
+        some = texts[lo : lo + 256]
+        known = [bool(t and model.languages and LETTER.search(t)) for t in some]
+        x = np.array([np.sqrt(n / max(1, n.sum())) for n in (profile(t) for t, k in zip(some, known) if k)]).reshape(-1, BINS)
+        best, p = model.decode(model.margins(x)) if len(model.languages) > 1 else (np.zeros(len(x), int), np.ones(len(x)))
+        it = iter(zip(best, p))
+        for k in known:
+            n, s = next(it) if k else (None, 0.0)
+            lang.append(model.languages[n] if k else "und")
+            score.append(float(s))
+    return lang, score, [x == "und" or s < sure for x, s in zip(lang, score)]
+
+
 def _predict(model: Model, sure: float):
     def run(batches):
         for batch in batches:
-            lang, score = [], []
-            texts = column(batch, "text").to_pylist()
-            for lo in range(0, len(texts), 256):
-                some = texts[lo : lo + 256]
-                known = [bool(t and model.languages and LETTER.search(t)) for t in some]
-                x = np.array([np.sqrt(n / max(1, n.sum())) for n in (profile(t) for t, k in zip(some, known) if k)]).reshape(-1, BINS)
-                best, p = model.decode(model.margins(x)) if len(model.languages) > 1 else (np.zeros(len(x), int), np.ones(len(x)))
-                it = iter(zip(best, p))
-                for k in known:
-                    n, s = next(it) if k else (None, 0.0)
-                    lang.append(model.languages[n] if k else "und")
-                    score.append(float(s))
-            ambiguous = [x == "und" or s < sure for x, s in zip(lang, score)]
-            yield pa.RecordBatch.from_arrays([*(c for n, c in zip(batch.schema.names, batch.columns) if n != "text"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())], names=[*(n for n in batch.schema.names if n != "text"), "lang_pred", "score", "ambiguous"])
+            lang, score, ambiguous = predicted(model, column(batch, "text").to_pylist(), sure)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
+
+    return run
+
+
+def _recognised(model: Model, sure: float):
+    def run(batches):
+        for batch in batches:
+            _, _, ambiguous = predicted(model, column(batch, "text").to_pylist(), sure)
+            yield batch.filter(pa.array([not a for a in ambiguous], pa.bool_()))
 
     return run
 
@@ -129,8 +142,6 @@ def identify(docs: DataFrame, model: Model, sure: float = SURE) -> DataFrame:
 
 
 def recognised(docs: DataFrame, model: Model, sure: float = SURE) -> DataFrame:
-    """docs without those of no language: no letters, or a codeword that is hardly nearer than the next."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    kind = "_row long, lang_pred string, score double, ambiguous boolean"
-    known = numbered.select("_row", "text").mapInArrow(_predict(model, sure), kind).filter("not ambiguous").select("_row")
-    return numbered.join(known, "_row", "left_semi").drop("_row")
+    """docs without those of no language: no letters, or a codeword that is hardly nearer than the next. Rows pass whole, with all
+    columns, in one pass."""
+    return docs.mapInArrow(_recognised(model, sure), docs.schema)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, WORD_BASE, Words, binary, bucket_runs, by_bucket, column, components, ids_of, materialize, mix, pick, reducers, slices, spans, unpack
 
-#: Largest light set that is ever considered; beyond it, subsets outnumber any list.
+#: Largest light set that is ever considered; beyond it, subsets outnumber any list. It changes no result: larger sets are heavy.
 MAX_LIGHT = 12
 #: Shingles a bucket should hold (8 bytes each, and as much again a few times while it is sorted).
 BUCKET = 1_000_000
@@ -252,9 +252,12 @@ def jaccard_components(docs: DataFrame, **how) -> DataFrame:
 def component_rows(docs: DataFrame, width: int = 5, percent: int = 75, rounds: int = 2) -> DataFrame:
     """jaccard_components with row_id (of the row in docs), and keep_row, that of the first row of the component by
     (doc_id, nulls last, row_id). A row with an empty set is the first of its own."""
-    spark = docs.sparkSession
     docs = pick(docs, "doc_id", "text")
-    numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
+    return _components(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text"), width, percent, rounds)
+
+
+def _components(numbered: DataFrame, width: int, percent: int, rounds: int = 2) -> DataFrame:
+    spark, docs = numbered.sparkSession, numbered
     sketch = materialize(numbered.mapInArrow(_sketch(width), "row_id long, doc_id long, n_shingles long, node long, check long"))
     class_key = ["node", "check", "n_shingles"]
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_id")
@@ -304,9 +307,9 @@ def component_rows(docs: DataFrame, width: int = 5, percent: int = 75, rounds: i
     return linked.unionByName(alone)
 
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """One row of each component of docs, with all columns: that of the smallest doc_id (nulls last), of equal ones the
-    first; rows with empty sets all stay. docs must come from a table: its rows are read more than once."""
-    stays = component_rows(docs, **how).filter("row_id = keep_row").select("row_id")
-    numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct("*").alias("doc"))
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """One row of each component of docs, with all columns, whatever their names: that of the smallest doc_id (nulls last), of equal ones
+    the first; rows with empty sets all stay. Rows are written with a number once, and all steps read that table."""
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct("*").alias("doc")))
+    stays = _components(numbered.select("row_id", "doc.doc_id", "doc.text"), width, percent).filter("row_id = keep_row").select("row_id")
     return numbered.join(stays, "row_id", "left_semi").select("doc.*")

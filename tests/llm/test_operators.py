@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pagelathe.llm import exact_dedup, exact_topk, language_id, license_scan, line_quality, ngram_join, packing, queries, source_mix, substring_dedup, toxicity
+from pagelathe.llm import common, exact_dedup, exact_topk, language_id, license_scan, line_quality, ngram_join, packing, queries, source_mix, substring_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, bucket string, _row int, size int"
@@ -415,3 +415,93 @@ def test_best_fit_one_by_one():
             for k in range(items):
                 left[first + k] += n
         assert windows == len(open_) and sorted(100 - x for x in left.values()) == sorted(open_)
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, row_id long, doc string, runs int, dealt int, bucket string, _row int, _id int, node long, kind int"
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage on its predecessor's rows: rows with null and repeated doc_ids, null texts, copies, near copies and columns of clashing names."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    kinds = {"aa": ["bana", "kola", "mira", "tolo"], "bb": ["strk", "krtn", "plzt", "vrst"], "cc": ["éñü", "öäé", "ñoñ", "üéö"]}
+    text = lambda k, n: " ".join(rng.choice(kinds[k]) + rng.choice("abcdefgh") * rng.randint(0, 3) for _ in range(n))
+    rows = [(i, text(k, rng.randint(20, 90)), k, f"s{i % 3}") for i, k in enumerate(list(kinds) * 12)]
+    base = rows[4][1]
+    near = base.split()
+    near[3] = "other"
+    rows += [(100, base + "\n", "bb", None), (None, " " + base, "bb", "s1"), (None, text("aa", 50), "aa", "s2"), (None, text("aa", 51), "aa", "s2"), (7, text("bb", 60), "bb", "s0"), (101, " ".join(near), "bb", "s1"), (102, None, None, None), (103, "12 34 !!", "aa", "s0"), (104, "", "aa", "s0"), (105, " \t", None, "s0")]
+    table = spark.createDataFrame([(*r, len(r[1] or ""), 1, "d", 2, 3, "b", 4, 5, 6, 7) for r in rows], CLASHING)
+    table.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    stages, sf = dict(corpus_pipeline.STAGES), str(tmp_path)
+    keys = lambda df: Counter((r["doc_id"], r["text"], r["source"]) for r in df.collect())
+
+    known = common.materialize(stages["language_id"](spark, docs, sf))
+    model = queries.language_model(docs)
+    want = Counter((i, t, s) for i, t, _, s in rows if t and re.search(r"[^\W\d_]", t) and not language_id.predicted(model, [t], language_id.SURE)[2][0])
+    assert known.columns == docs.columns and keys(known) == want and len(want) >= 40
+
+    single = common.materialize(stages["exact_dedup"](spark, known, sf))
+    groups = defaultdict(list)
+    for i, t, s in want.elements():
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), i is None, i or 0, (i, t, s)))
+    want = Counter(min(g)[3] for g in groups.values())
+    assert single.columns == docs.columns and keys(single) == want
+
+    apart = common.materialize(stages["ngram_jaccard_join"](spark, single, sf))
+    sets = {r: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for r in want.elements() for w in [words(ascii_lower(r[1]))]}
+    gone = {r for r in sets for o in sets if r != o and 100 * len(sets[r] & sets[o]) >= 75 * len(sets[r] | sets[o]) and (o[0] is None, o[0] or 0) < (r[0] is None, r[0] or 0)}
+    want = Counter(r for r in want.elements() if r not in gone)
+    assert gone and apart.columns == docs.columns and keys(apart) == want
+
+    mixed = common.materialize(stages["source_mix"](spark, apart, sf))
+    taken = Counter((r["doc_id"], r["size"], r["taken"]) for r in source_mix.taken_words(apart, weights=(3, 1, 2), share=1.5, most=2).collect() if r["taken"])
+    before = {(i, s, t) for i, t, s in want}
+    sizes = Counter()
+    for r in mixed.collect():
+        own = [t for i, s, t in before if (i, s) == (r["doc_id"], r["source"]) and not Counter(words(r["text"])) - Counter(words(t) * 2)]
+        assert len(own) >= 1 and r["n_chars"] == len(r["text"])
+        sizes[r["doc_id"], len(words(own[0])), len(words(r["text"]))] += 1
+    assert mixed.columns == docs.columns and sizes == taken
+
+    plain, got = Tokenizer.from_file(queries.tokenizer_files()[0]), stages["packing"](spark, mixed, sf).collect()
+    ids = Counter((r["doc_id"], tuple([*plain.encode(r["text"], add_special_tokens=False).ids, 0])) for r in mixed.collect())
+    whole = Counter((i, 0, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids.elements() if len(x) <= 1024)
+    assert not whole - Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in got) and sum(r["length"] for r in got) == sum(len(x) for _, x in ids.elements())
+    assert corpus_pipeline.run(spark, sf).count() == len(got)
+
+
+def test_substring_dedup_in_small_blocks(spark, docs):
+    """Blocks far smaller than the groups in them: dealt again by longer seeds, to whole windows. The same words go."""
+    want = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.remove_repeats(docs).collect())
+    got = substring_dedup.remove_repeats(docs, block_words=100, limit=150, seeds=(3, 9)).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == want
+
+
+def test_substring_dedup_takes_the_longest_match(spark):
+    rng = random.Random(3)
+    text = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    long = text(300)
+    rows = [(0, " ".join(long)), (1, " ".join(text(20) + long[:40] + text(20))), (2, " ".join(text(10) + long[:250] + text(30) + long[200:300])), (3, " ".join(text(400)))]
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    factors = list(zip(got[2]["start"], got[2]["words"], got[2]["ref_doc"], got[2]["ref_start"]))
+    assert sum(n for _, n, d, b in factors if d == 0) >= 300 and max(n for _, n, d, _ in factors if d == 0) >= 200 and len(factors) <= 8, factors
+    assert {i for a, n, *_ in factors for i in range(a, a + n)} == {*range(10, 260), *range(290, 390)}
+    assert got[3]["n_removed"] == 0 and got[3]["start"] is None and got[1]["n_removed"] == 40
+
+
+def test_substring_dedup_deals_copies_evenly(spark):
+    """A third of all rows are one text under many doc_ids: their factors go to many buckets, their words to a block once a task."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"v{rng.randint(0, 3000)}" for _ in range(n))
+    one = text(400)
+    table = spark.createDataFrame([(i, one if i % 3 == 0 else text(400)) for i in range(600)], "doc_id long, text string").repartition(4).withColumn("text_hash", F.xxhash64("text"))
+    rows = table.mapInArrow(substring_dedup._deal(35, 5, 64, substring_dedup._of_documents), substring_dedup.ROW)
+    found = rows.groupBy("kind", "bucket").agg(F.sum(F.octet_length("pos") / 4).alias("n")).collect()
+    factors = [r["n"] for r in found if r["kind"] == substring_dedup.FACTOR]
+    assert len(factors) > 50 and max(factors) < sum(factors) / 8
+    segments = [r["n"] for r in found if r["kind"] == substring_dedup.SEGMENT]
+    assert sum(segments) < 12_500 and max(segments) < sum(segments) / 8  # 400 texts and one a task, not 600
