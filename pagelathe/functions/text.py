@@ -7,25 +7,26 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Bullets that cleaning drops, list heads that begin a block.
-BULLETS = "●■◆▶•◦"
-LIST_HEAD = r"^(?:[・●■◆▶•◦\-–]\s*|[①-⑳]|[(（]\d+[)）]|\d+[.)]\s|[a-z][.)]\s)"
+from ..params import KEYWORDS
+
+#: Bullets that cleaning drops, list heads that begin a block, keywords that are compared as words.
+BULLETS = "■●▲◆•⚫"
+LIST_HEAD = r"(?U)^(?:[●○■□◆◇▲△▼▽・※]|[①-⑳]|[（(]\d{1,2}[)）]|\d{1,2}[．.、]\s*\S|[a-zA-Z][.)]\s)"
+WORD_KEYWORD = r"[A-Za-z0-9 .\-]+"
 
 
 def strip(c: Column) -> Column:
     """Removes white space of any script at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def clean(c: Column) -> Column:
     """Normal form of a text before it is split. It never adds, drops or moves over a terminator."""
-    c = F.regexp_replace(F.replace(c, F.lit("　"), F.lit(" ")), r"[ \t]+", " ")
-    c = F.regexp_replace(c, f"[{BULLETS}]", "")
-    c = F.regexp_replace(c, r"[\x{E000}-\x{F8FF}]", "")
-    c = F.regexp_replace(c, r"[\x00-\x08\x0B-\x1F\x7F]", "")
+    c = F.regexp_replace(c, r"[　 \t]+", " ")
+    c = F.regexp_replace(c, rf"[{BULLETS}\x{{E000}}-\x{{F8FF}}\x00-\x08\x0B-\x1F\x7F]+", "")
     c = F.regexp_replace(c, r"(?<=[A-Za-z0-9])\n(?=[A-Za-z0-9])", " ")
     c = F.replace(c, F.lit("\n"), F.lit(""))
-    return F.regexp_replace(c, r"(?U)([^\w\s、。])\1{2,}", "")
+    return F.regexp_replace(c, r"(?U)([^\p{L}\p{N}_\s、。])\1{2,}", "")
 
 
 def units(c: Column, terminator: str = "。", min_len: int = 2) -> Column:
@@ -34,12 +35,21 @@ def units(c: Column, terminator: str = "。", min_len: int = 2) -> Column:
     return F.transform(F.filter(pieces, lambda x: F.length(x) >= min_len), lambda x: F.concat(x, F.lit(terminator)))
 
 
-def keyword_pattern(words: list[str]) -> str:
-    """Alternation in list order, any case; an ASCII word may not touch other ASCII letters."""
+def keyword_pattern(words: list[str] | None = None) -> str:
+    """Alternation in list order, any case; a word of letters, digits, spaces, dots and hyphens may not touch other ASCII letters. Blank words
+    don't count; without any, the default keywords do."""
+    kept = [w.strip() for w in words or [] if w and w.strip()] or KEYWORDS
+
     def one(w):
-        return rf"(?<![A-Za-z]){re.escape(w)}(?![A-Za-z])" if re.fullmatch(r"[\x20-\x7e]+", w) else re.escape(w)
+        return rf"(?<![A-Za-z]){re.escape(w)}(?![A-Za-z])" if re.fullmatch(WORD_KEYWORD, w) else re.escape(w)
+
+    return "(?iu)" + "|".join(one(w) for w in kept)
+
 
-    return "(?iu)" + "|".join(one(w) for w in words)
+def position(c: Column) -> Column:
+    """A recorded place (an array of texts or numbers) as [x, y] to a tenth; null, which means any, if it is malformed."""
+    x, y = (F.bround(F.get(c, i).cast("string").try_cast("double"), 1) for i in (0, 1))
+    return F.when(x.isNotNull() & y.isNotNull(), F.array(x, y))
 
 
 def page_label(raw: Column, page: Column) -> Column:

@@ -14,8 +14,9 @@ PAGE = ["doc_id", "page_no"]
 def collect_lines(spans: DataFrame) -> DataFrame:
     """One row a line: text of its spans in order, box, representative size and boldness; blank lines go."""
     text, size = strip(F.col("text")), F.bround("size", 1)
+    n = japanese_chars(text)
     bold = (F.col("flags").bitwiseAND(16) != 0) | F.lower("font").contains("bold")
-    rank = F.struct(japanese_chars(F.col("text")) > 0, F.when(japanese_chars(F.col("text")) > 0, japanese_chars(F.col("text"))).otherwise(F.length("text")), -F.col("span_ord"))
+    rank = F.when(F.length(text) > 0, F.struct(n > 0, F.when(n > 0, n).otherwise(F.length(text)), -F.col("span_ord")))  # blank spans don't count
     parts = F.array_sort(F.collect_list(F.struct("span_ord", "text")))
     out = spans.groupBy(*PAGE, "block_ord", "line_ord").agg(
         F.array_join(F.transform(parts, lambda s: s["text"]), "").alias("text"), *(F.first(c).alias(c) for c in ("x0", "y0", "x1", "y1")),
@@ -35,9 +36,12 @@ def body_size(histogram: DataFrame) -> DataFrame:
     return histogram.withColumn("n", F.row_number().over(best)).filter("n = 1").select("doc_id", F.coalesce("size", F.lit(0.0)).alias("body"))
 
 
-def running_lines(lines: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, text, bucket) of lines that recur on enough pages at one left edge."""
-    pages = lines.groupBy("doc_id").agg(F.countDistinct("page_no").alias("all_pages"))
+def running_lines(lines: DataFrame, p: Params, pages: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text, bucket) of lines that recur on enough pages at one left edge. pages: doc_id, n_pages of the documents, blank pages
+    too; without it the last page with a line is taken to be the last."""
+    if pages is None:
+        pages = lines.groupBy("doc_id").agg(F.max("page_no").alias("n_pages"))
+    pages = pages.select("doc_id", F.col("n_pages").alias("all_pages"))
     seen = lines.groupBy("doc_id", strip(F.col("text")).alias("text"), F.bround(F.col("x0") / 3).alias("bucket")).agg(F.countDistinct("page_no").alias("pages"))
     least = F.greatest(F.lit(p.min_repeat_pages), F.floor(F.col("all_pages") * p.repeat_ratio + 0.999))
     found = seen.join(pages, "doc_id").filter(F.col("pages") >= least)
@@ -52,11 +56,11 @@ def without_running(lines: DataFrame, running: DataFrame) -> DataFrame:
 
 def group_lines(lines: DataFrame, p: Params) -> DataFrame:
     """Numbers the blocks of a page: a line goes on with the line just before it if size, left edge and leading fit, it is no
-    list head, and boldness stays."""
+    list head, and boldness stays. Null boldness counts as plain."""
     w = Window.partitionBy(*PAGE).orderBy("ord")
     before = lambda c: F.lag(c).over(w)
     fits = (F.abs(F.col("size") - before("size")) <= p.size_tol + 0.05) & (F.abs(F.col("x0") - before("x0")) <= p.col_tol) & (F.col("y0") - before("y0")).between(F.lit(0.0), before("size") * p.line_gap)
-    fits = fits & ~strip(F.col("text")).rlike(LIST_HEAD) & (F.col("bold") == before("bold"))
+    fits = fits & ~F.regexp_replace("text", r"(?U)^[\s\x1C-\x1F]+", "").rlike(LIST_HEAD) & (F.coalesce("bold", F.lit(False)) == F.coalesce(before("bold"), F.lit(False)))
     return lines.withColumn("_new", F.when(fits, 0).otherwise(1)).withColumn("block", F.sum("_new").over(w) - 1).drop("_new")
 
 
@@ -71,17 +75,35 @@ def is_section(kind_, size, raw, body, p: Params, forced=None):
 
 
 def carry_sections(blocks: DataFrame, order: list[str]) -> DataFrame:
-    """section: the latest heading so far, over pages; number: of the block in its document."""
-    w = Window.partitionBy("doc_id").orderBy(*order)
-    heading = F.when(F.col("is_section"), strip(F.col("raw")))
-    return blocks.withColumn("section", F.coalesce(F.last(heading, True).over(w), F.lit(""))).withColumn("number", F.row_number().over(w))
-
-
-def reading_order(blocks: DataFrame, p: Params, width: float) -> DataFrame:
-    """rank: by column, then top edge, then left edge. Columns part where left edges leave a gap of col_gap_ratio of the width."""
+    """section: the latest heading so far, over pages; number: of the block in its document. order begins with page_no. Each page is a
+    group of its own; from page to page go only its last heading and its number of blocks."""
+    inner = order[1:]
+    rows = blocks.withColumn("_heading", F.when(F.col("is_section"), strip(F.col("raw"))))
+    last = F.max_by("_heading", F.when(F.col("_heading").isNotNull(), F.struct(*inner)))
+    pages = rows.groupBy(*PAGE).agg(last.alias("_last"), F.count("*").alias("_many"))
+    before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    pages = pages.select(*PAGE, F.last("_last", True).over(before).alias("_carried"), F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_start"))
+    w = Window.partitionBy(*PAGE).orderBy(*inner)
+    rows = rows.join(pages, PAGE).withColumn("section", F.coalesce(F.last("_heading", True).over(w), "_carried", F.lit("")))
+    return rows.withColumn("number", F.row_number().over(w) + F.col("_start")).drop("_heading", "_carried", "_start")
+
+
+def number_in_document(rows: DataFrame, inner: list[str], name: str) -> DataFrame:
+    """Adds name: the row's number in its document, from 0, by page_no and then inner: counted page by page, then over the pages' counts."""
+    before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    start = rows.groupBy(*PAGE).agg(F.count("*").alias("_n")).select(*PAGE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*PAGE).orderBy(*inner)) - 1
+    return rows.join(start, PAGE).withColumn(name, inside + F.col("_start")).drop("_start")
+
+
+def reading_order(blocks: DataFrame, p: Params, width: float | DataFrame) -> DataFrame:
+    """rank: by column, then top edge, then left edge. Columns part where left edges leave a gap of col_gap_ratio of the page's width.
+    width: of all pages, or a table doc_id, page_no, width."""
     edges = blocks.select(*PAGE, "x0").distinct()
     after = F.lead("x0").over(Window.partitionBy(*PAGE).orderBy("x0"))
-    cuts = edges.withColumn("_next", after).filter(F.col("_next") - F.col("x0") >= width * p.col_gap_ratio)
+    edges = edges.withColumn("_next", after)
+    edges = edges.join(width.select(*PAGE, F.col("width").alias("_width")), PAGE) if isinstance(width, DataFrame) else edges.withColumn("_width", F.lit(float(width)))
+    cuts = edges.filter(F.col("_next") - F.col("x0") >= F.col("_width") * p.col_gap_ratio)
     cuts = cuts.groupBy(*PAGE).agg(F.collect_list((F.col("x0") + F.col("_next")) / 2).alias("_cuts"))
     column = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("x0"))), F.lit(0))
     out = blocks.join(cuts, PAGE, "left").withColumn("column", F.when(F.col("_cuts").isNull(), 0).otherwise(column)).drop("_cuts")

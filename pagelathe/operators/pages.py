@@ -101,6 +101,27 @@ def audit(docs: DataFrame, units: DataFrame) -> DataFrame:
     return out.withColumn("left_over", F.col("total") - F.col("done"))
 
 
+def progress(blocks: DataFrame) -> DataFrame:
+    """Blocks of each document by what was done: total, excluded, checked (columns of blocks), done (no more than there are)."""
+    n = F.count("*")
+    return blocks.groupBy("doc_id").agg(n.alias("total"), F.count_if("excluded").alias("excluded"), F.count_if("checked").alias("checked"), F.least(n, F.count_if("excluded") + F.count_if("checked")).alias("done"))
+
+
+def review_seconds(checks: DataFrame) -> DataFrame:
+    """Mean seconds of a document's checks, to a tenth; those without a positive time don't count."""
+    return checks.groupBy("doc_id").agg(F.round(F.avg(F.when(F.col("seconds") > 0, F.col("seconds"))), 1).alias("seconds"))
+
+
+def export_breakdown(rows: DataFrame) -> DataFrame:
+    """Sentences of each document by kind, and characters in all."""
+    return rows.groupBy("doc_id").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in KINDS), F.count("*").alias("total"), F.sum(F.length("sentence")).alias("n_chars"))
+
+
+def todo_only(units: DataFrame) -> DataFrame:
+    """Units not checked and not left out: documents without any go with their units."""
+    return units.filter(~F.col("checked") & F.col("adopted"))
+
+
 def next_todo(units: DataFrame) -> DataFrame:
     """The first unit not done, by document and number."""
     return units.filter(~F.col("checked") & F.col("adopted")).orderBy("doc_id", "unit_id").limit(1)

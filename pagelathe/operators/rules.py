@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..params import KINDS
 
 #: Left and top edge may differ by this much (points), sizes by PT_TOL.
 AT_TOL, PT_TOL = 1.0, 0.05
 
 
-def _match(rows: DataFrame, rules: DataFrame, text: str):
-    r = rules.select(*(F.col(c).alias(f"r_{c}") for c in rules.columns))
+def _match(rows: DataFrame, rules: DataFrame, text: str, exact: bool = False):
+    """Blank rule texts meet nothing. exact: texts are compared as they are, white space at their ends too."""
+    r = rules.select(*(F.col(c).alias(f"r_{c}") for c in rules.columns)).filter(F.length(strip(F.col("r_text"))) > 0)
+    same = F.col("r_text") == F.col(text) if exact else strip(F.col("r_text")) == strip(F.col(text))
     near = (F.abs(F.col("x0") - F.col("r_at")[0]) <= AT_TOL) & (F.abs(F.col("y0") - F.col("r_at")[1]) <= AT_TOL)
-    on = (F.col("r_doc_id") == F.col("doc_id")) & (strip(F.col("r_text")) == strip(F.col(text))) & (F.col("r_page").isNull() | (F.col("r_page") == F.col("page_no"))) & (F.col("r_at").isNull() | near)
+    on = (F.col("r_doc_id") == F.col("doc_id")) & same & (F.col("r_page").isNull() | (F.col("r_page") == F.col("page_no"))) & (F.col("r_at").isNull() | near)
     if "pt" in rules.columns:
         on = on & (F.col("r_pt").isNull() | (F.abs(F.col("r_pt") - F.col("size")) <= PT_TOL))
     return r, on
@@ -27,17 +30,18 @@ def excluded(rows: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame
 
 
 def unused(rows: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
-    """The rules that meet no row."""
-    r, on = _match(rows, rules, text)
+    """The rules for one page that meet no row; rules for any page are not missed on one."""
+    r, on = _match(rows, rules.filter("page is not null"), text)
     return r.join(rows, on, "left_anti").select(*(F.col(f"r_{c}").alias(c) for c in rules.columns))
 
 
-def override_kinds(blocks: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
-    """Replaces kind by the first rule that fits, rules for one page before rules for any page."""
-    r, on = _match(blocks, rules, "raw")
+def override_kinds(blocks: DataFrame, rules: DataFrame, key: list[str], forced: str | None = None) -> DataFrame:
+    """Replaces kind by the first rule that fits, rules for one page before rules for any page. Texts are compared as they are; rules
+    with a kind that there is not don't count. forced: name of a column for the rule's kind, null where no rule fits."""
+    r, on = _match(blocks, rules.filter(F.col("kind").isin(*KINDS)), "raw", exact=True)
     first = Window.partitionBy(*key).orderBy(F.col("r_page").isNull(), "r_rule_ord")
     out = blocks.join(r, on, "left").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    return out.withColumn("kind", F.coalesce("r_kind", "kind")).select(*blocks.columns)
+    return out.withColumn("kind", F.coalesce("r_kind", "kind")).select(*blocks.columns, *([F.col("r_kind").alias(forced)] if forced else []))
 
 
 def join_blocks(blocks: DataFrame, rules: DataFrame) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.text import band, strip
 
 
-def overlap_ratio(a: str, b: str):
-    """Common area over the smaller area; 0 where that is empty."""
-    c = lambda p, n: F.col(f"{p}{n}")
+def overlap_ratio(a, b):
+    """Common area over the smaller area; 0 where that is empty. a and b: structs with x0, y0, x1, y1, or prefixes of columns."""
+    c = lambda p, n: F.col(f"{p}{n}") if isinstance(p, str) else p[n]
     side = lambda lo, hi: F.greatest(F.lit(0.0), F.least(c(a, hi), c(b, hi)) - F.greatest(c(a, lo), c(b, lo)))
     area = lambda p: (c(p, "x1") - c(p, "x0")) * (c(p, "y1") - c(p, "y0"))
-    return F.coalesce(F.try_divide(side("x0", "x1") * side("y0", "y1"), F.least(area(a), area(b))), F.lit(0.0))
+    smaller = F.least(area(a), area(b))
+    return F.when(smaller > 0, side("x0", "x1") * side("y0", "y1") / smaller).otherwise(0.0)
 
 
 def outermost(tables: DataFrame, tol: float = 1.0) -> DataFrame:

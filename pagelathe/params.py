@@ -29,11 +29,13 @@ class Params:
         """Unknown keys are dropped; an unknown table strategy falls back to the default."""
         known = {f.name for f in fields(cls)}
         kept = {k: v for k, v in settings.items() if k in known}
-        if kept.get("table_strategy") not in (None, "lines_strict", "lines", "text", "off"):
+        if kept.get("table_strategy") not in (None, "lines_strict", "lines", "text", "none"):
             del kept["table_strategy"]
         if "auto_join" in kept:
             kept["auto_join"] = bool(kept["auto_join"])
         return cls(**kept)
 
 
+#: Keywords of a list that is absent or empty.
+KEYWORDS = ["生成AI", "生成 AI", "生成系AI", "ジェネレーティブAI", "ジェネレーティブ AI", "Generative AI", "GenAI", "Gen AI", "大規模言語モデル", "LLM", "ChatGPT"]
 KINDS = ["body", "large", "small", "tiny", "table"]

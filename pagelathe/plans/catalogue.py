@@ -16,7 +16,7 @@ from ..operators import rules as R
 from ..operators import sentences as S
 from ..operators import tables as T
 from ..params import KINDS, Params
-from ..sources import files
+from ..sources import files, sinks
 from . import extract as X
 
 P = Params(terminator=".", repeat_ratio=0.1)
@@ -36,9 +36,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentences(spark, sf_dir) -> DataFrame:
     """L1 rows: doc_id, page_no, k (in the page), ord (in the document), sentence, kind, section, block_id."""
-    docs = _documents(spark, sf_dir)
-    out = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), F.posexplode(units(F.col("text"), ".", 2)).alias("k", "sentence"))
-    out = out.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "k")) - 1)
+    pages = _documents(spark, sf_dir).select(F.monotonically_increasing_id().alias("row"), F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), units(F.col("text"), ".", 2).alias("units"))
+    pages = X.cut(pages.withColumn("n", F.size("units")))  # cleaned once, whatever reads it how often
+    before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    start = pages.select("row", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a number a page
+    out = pages.join(start, "row").select("doc_id", "page_no", "start", F.posexplode("units").alias("k", "sentence"))
+    out = out.withColumn("ord", (F.col("start") + F.col("k")).cast("int")).drop("start")
     kind = F.when(F.col("k") % 7 == 3, "table").when(F.length("sentence") <= 20, "large").otherwise("body")
     return out.withColumn("kind", kind).withColumn("section", F.concat(F.lit("s"), (F.col("k") % 3).cast("string"))).withColumn("block_id", F.col("page_no") * 1000 + F.floor(F.col("k") / 7))
 
@@ -65,7 +68,7 @@ RUNS = "|".join(rf"\{c}{{3,}}" for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~")
 NEWLINE = "([A-Za-z0-9])\\n([A-Za-z0-9])"
 SQL_CLEAN = "replace(text, '　', ' ')"
 SQL_CLEAN = rf"regexp_replace({SQL_CLEAN}, '[ \t]+', ' ', 'g')"
-SQL_CLEAN = f"regexp_replace({SQL_CLEAN}, '[●■◆▶•◦]', '', 'g')"
+SQL_CLEAN = f"regexp_replace({SQL_CLEAN}, '[■●▲◆•⚫]', '', 'g')"
 SQL_CLEAN = rf"regexp_replace({SQL_CLEAN}, '[\x00-\x08\x0B-\x1F\x7F]', '', 'g')"
 SQL_CLEAN = rf"regexp_replace(regexp_replace({SQL_CLEAN}, '{NEWLINE}', '\1 \2', 'g'), '{NEWLINE}', '\1 \2', 'g')"
 SQL_CLEAN = f"regexp_replace(replace({SQL_CLEAN}, chr(10), ''), '{RUNS.replace(chr(39), chr(39) * 2)}', '', 'g')"
@@ -134,13 +137,13 @@ def w7(spark, sf_dir):
     return S.context_windows(sentences(spark, sf_dir), keyword_pattern(WORDS), 2)
 
 
-@query("j16_window_sentences", f"""with {SENTENCES}, h as (select doc_id, ord, ord - lag(ord) over (partition by doc_id order by ord) as d from s where regexp_matches(sentence, '(?i)(^|[^A-Za-z])(license)([^A-Za-z]|$)')),
+@query("j16_window_sentences", f"""with {SENTENCES}, h as (select doc_id, ord, ord - lag(ord) over (partition by doc_id order by ord) as d from s where regexp_matches(sentence, '(?i)(^|[^A-Za-z])(the|token|license)([^A-Za-z]|$)')),
 g as (select doc_id, ord, sum(case when d <= 5 then 0 else 1 end) over (partition by doc_id order by ord) as window_id from h),
 w as (select doc_id, window_id, min(ord) - 2 as lo, max(ord) + 2 as hi from g group by 1, 2)
 select s.doc_id, window_id::bigint as window_id, s.ord, s.page_no, s.sentence from w join s on s.doc_id = w.doc_id and s.ord between lo and hi""")
 def j16(spark, sf_dir):
     rows = sentences(spark, sf_dir)
-    return S.window_rows(S.context_windows(rows, keyword_pattern(["license"]), 2), rows).select("doc_id", "window_id", "ord", "page_no", "sentence")
+    return S.window_rows(S.context_windows(rows, keyword_pattern(WORDS), 2), rows).select("doc_id", "window_id", "ord", "page_no", "sentence")
 
 
 UNITS = f"""hits as (select * from s where {HIT}), t as (select doc_id, block_id, min(ord) as anchor, count(*) as n_hits from hits where kind = 'table' group by 1, 2),
@@ -177,11 +180,11 @@ def j17(spark, sf_dir):
     return S.near_context(S.units(rows, keyword_pattern(WORDS)), rows, 2)
 
 
-@query("j15_nearest_row", f"""with {SENTENCES}, w as (select distinct doc_id, ord + 3 as anchor, sentence as text from s where ord % 50 = 0)
-select w.doc_id, anchor, text, s.ord from w join s on s.doc_id = w.doc_id and s.sentence = text and abs(s.ord - anchor) <= 40 qualify row_number() over (partition by w.doc_id, anchor, text order by abs(s.ord - anchor), s.ord) = 1""")
+@query("j15_nearest_row", f"""with {SENTENCES}, w as (select distinct doc_id, ord + 3 as anchor, sentence as text from s)
+select w.doc_id, anchor, text, s.ord from w join s on s.doc_id = w.doc_id and s.sentence = text and s.ord between anchor - 40 and anchor + 40 qualify row_number() over (partition by w.doc_id, anchor, text order by abs(s.ord - anchor), s.ord) = 1""")
 def j15(spark, sf_dir):
     rows = sentences(spark, sf_dir)
-    wanted = rows.filter("ord % 50 = 0").select("doc_id", (F.col("ord") + 3).alias("anchor"), F.col("sentence").alias("text")).distinct()
+    wanted = rows.select("doc_id", (F.col("ord") + 3).alias("anchor"), F.col("sentence").alias("text")).distinct()
     return S.nearest_rows(wanted, rows)
 
 
@@ -195,7 +198,7 @@ def k5(spark, sf_dir):
 @query("k9_split_export_counts", f"with {SENTENCES}, {UNITS} select doc_id, rule as label, count(*) as n from u group by 1, 2")
 def k9(spark, sf_dir):
     out = S.units(sentences(spark, sf_dir), keyword_pattern(WORDS)).filter("adopted")
-    return out.groupBy("doc_id", F.regexp_replace(F.coalesce(F.nullif(F.trim("rule"), F.lit("")), F.lit("unset")), r'[\\/:*?"<>|]', "_").alias("label")).agg(F.count("*").alias("n"))
+    return sinks.split_rows(out.withColumn("adopted", F.lit("○")), "rule").groupBy("doc_id", "label").agg(F.count("*").alias("n"))
 
 
 @query("a1_size_histogram_top", f"""with {LINES}, h as (select doc_id, size, sum(length(text))::bigint as chars from l group by 1, 2)
@@ -211,21 +214,21 @@ def a2(spark, sf_dir):
 
 
 RUNNING = """r as (select doc_id, text, round_even(x0 / 3, 0)::double as bucket, count(distinct page_no) as pages from l group by 1, 2, 3),
-run as (select r.* from r join (select doc_id, count(distinct page_no) as n from l group by 1) using (doc_id) where pages >= greatest(5, floor(n * 0.1::double + 0.999)))"""
+run as (select r.* from r join (select source as doc_id, count(*) as n from documents group by 1) using (doc_id) where pages >= greatest(5, floor(n * 0.1::double + 0.999)))"""
 
 
 @query("a3_running_lines", f"with {LINES}, {RUNNING} select doc_id, text, bucket, pages from run")
 def a3(spark, sf_dir):
-    return L.running_lines(page_lines(spark, sf_dir), P)
+    return L.running_lines(page_lines(spark, sf_dir), P, _pages(spark, sf_dir))
 
 
 @query("p5_lines_without_running", f"with {LINES}, {RUNNING} select doc_id, page_no, ord, text from l where not exists (select 1 from run where run.doc_id = l.doc_id and run.text = l.text and bucket = round_even(x0 / 3, 0))")
 def p5(spark, sf_dir):
     rows = page_lines(spark, sf_dir)
-    return L.without_running(rows, L.running_lines(rows, P)).select("doc_id", "page_no", "ord", "text")
+    return L.without_running(rows, L.running_lines(rows, P, _pages(spark, sf_dir))).select("doc_id", "page_no", "ord", "text")
 
 
-HEADS = r"^([・●■◆▶•◦\-–]\s*|[①-⑳]|[(（][0-9]+[)）]|[0-9]+[.)]\s|[a-z][.)]\s)"
+HEADS = r"^([●○■□◆◇▲△▼▽・※]|[①-⑳]|[（(][0-9０-９]{1,2}[)）]|[0-9０-９]{1,2}[．.、]\s*\S|[a-zA-Z][.)]\s)"
 
 
 @query("w1_line_groups", f"""with {LINES}, b as (select *, lag(size) over w as s1, lag(x0) over w as x1, lag(y0) over w as y1 from l window w as (partition by doc_id, page_no order by ord))
@@ -281,11 +284,13 @@ def j5(spark, sf_dir):
 
 
 def _exclusions(rows):
-    """Recorded exclusions: short lines of page 0 mod 40 for any page, others of those pages for that page and place, one that fits nothing."""
+    """Recorded exclusions: short lines of page 0 mod 40 for any page, others of those pages for that page and place, and two that fit nothing,
+    one of them for one page."""
     short = rows.filter("page_no % 40 = 0 and size = 14.0").select("doc_id", "text", F.lit(None).cast("long").alias("page"), F.lit(14.0).alias("pt"), F.lit(None).cast("array<double>").alias("at"))
     placed = rows.filter("page_no % 40 = 0 and size = 9.0").select("doc_id", "text", F.col("page_no").alias("page"), F.lit(None).cast("double").alias("pt"), F.array(F.col("x0") + 0.5, "y0").alias("at"))
-    nothing = rows.select("doc_id", F.concat(F.lit("~"), "doc_id").alias("text")).distinct().select("*", F.lit(None).cast("long").alias("page"), F.lit(None).cast("double").alias("pt"), F.lit(None).cast("array<double>").alias("at"))
-    return short.unionByName(placed).unionByName(nothing)
+    nothing = rows.groupBy("doc_id").agg(F.min("page_no").alias("page")).select("doc_id", F.concat(F.lit("~"), "doc_id").alias("text"), "page", F.lit(None).cast("double").alias("pt"), F.lit(None).cast("array<double>").alias("at"))
+    anywhere = nothing.withColumn("page", F.lit(None).cast("long"))  # for any page: never reported
+    return short.unionByName(placed).unionByName(nothing).unionByName(anywhere)
 
 
 @query("j3_exclusions", f"""with {LINES}, x as (select distinct doc_id, text, page_no, x0, y0, size from l where page_no % 40 = 0)
@@ -295,10 +300,10 @@ def j3(spark, sf_dir):
     return R.excluded(rows, _exclusions(rows)).select("doc_id", "page_no", "ord", "text")
 
 
-@query("p27_unused_rules", "select distinct source as doc_id, '~' || source as text from documents")
+@query("p27_unused_rules", "select source as doc_id, '~' || source as text, min(doc_id) as page from documents group by source")
 def p27(spark, sf_dir):
     rows = page_lines(spark, sf_dir)
-    return R.unused(rows, _exclusions(rows)).select("doc_id", "text")
+    return R.unused(rows, _exclusions(rows)).select("doc_id", "text", "page")
 
 
 @query("j4_kind_overrides", f"""with {LINES}, a as (select distinct doc_id, text from l where page_no % 10 = 0 and ord = 0), b as (select distinct doc_id, page_no, text from l where page_no % 20 = 0 and ord = 0)
@@ -320,21 +325,20 @@ def a10(spark, sf_dir):
 
 @query("k12_latest_settings", "select user_id as doc_id, event_id as version, props as settings from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")
 def k12(spark, sf_dir):
-    latest = _table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.max_by(F.struct("event_id", "props"), F.struct("ts", "event_id")).alias("e"))
-    return latest.select("doc_id", F.col("e.event_id").alias("version"), F.col("e.props").alias("settings"))
+    history = _table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("ts").alias("saved_at"), F.col("event_id").alias("version"), F.col("props").alias("settings"))
+    return sinks.latest_settings(history).drop("saved_at")
 
 
 @query("a13_progress", """with e as (select user_id as doc_id, event_type = 'click' as excluded, value > 50 as checked from events)
 select doc_id, count(*) as total, count(*) filter (excluded) as excluded, count(*) filter (checked) as checked, least(count(*), count(*) filter (excluded) + count(*) filter (checked)) as done from e group by 1""")
 def a13(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_type") == "click").alias("x"), (F.col("value") > 50).alias("c"))
-    return e.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if("x").alias("excluded"), F.count_if("c").alias("checked"), F.least(F.count("*"), F.count_if("x") + F.count_if("c")).alias("done"))
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_type") == "click").alias("excluded"), (F.col("value") > 50).alias("checked"))
+    return G.progress(e)
 
 
 @query("a15_review_seconds", "select user_id as doc_id, round(avg(case when floor(value) > 0 then floor(value) end), 1) as seconds from events group by 1")
 def a15(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.floor("value").cast("double").alias("s"))
-    return e.groupBy("doc_id").agg(F.round(F.avg(F.when(F.col("s") > 0, F.col("s"))), 1).alias("seconds"))
+    return G.review_seconds(_table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.floor("value").cast("double").alias("seconds")))
 
 
 @query("j7_point_in_cell", f"""with {LINES} select doc_id, page_no, ord, (case when y0 + 5 <= 150 then 0 else 1 end)::int as table_no,
@@ -467,7 +471,9 @@ def c8_edits(spark, sf_dir):
 @query("c2_extract")
 def c2(spark, sf_dir):
     """Every step from lines to sentences, pages and columns joined, with recorded exclusions."""
-    rows = _boxed(spark, sf_dir).withColumn("page_no", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("page_no")))
+    pages = _table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"))
+    pages = pages.withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no")))  # a number a page
+    rows = _boxed(spark, sf_dir).join(pages, ["doc_id", "page_no"]).withColumn("page_no", F.col("number")).drop("number")
     body = rows.select("doc_id").distinct().withColumn("body", F.lit(9.0))
     rows = L.without_running(rows, L.running_lines(rows, P))
     rules = {"excluded": _exclusions(rows).drop("at").withColumn("at", F.lit(None).cast("array<double>"))}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,12 +17,20 @@ LINE = ("ord", "text", "x0", "y0", "x1", "y1", "size")
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """Rows written once under spark.checkpoint.dir. Each step below reads its input two or three times; without cuts the reads multiply from
-    step to step."""
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return rows.checkpoint()
+    """Rows written once to the folder that spark.checkpoint.dir names, and read from there. Each step below reads its input two or three
+    times; without cuts the reads multiply from step to step. The table goes when the driver's file system closes."""
+    spark = rows.sparkSession
+    context, folder = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = context.getCheckpointDir() or tempfile.mkdtemp(prefix="pagelathe-")
+        context.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def _blocks(lines: DataFrame, p: Params) -> DataFrame:
@@ -57,16 +66,17 @@ def _marked(blocks: DataFrame, excluded: DataFrame | None, p: Params) -> DataFra
     gone = R.excluded(rows, excluded).groupBy(*PAGE, "ord").agg(F.collect_set("text").alias("_gone"))
     out = out.join(gone, [*PAGE, "ord"], "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<string>")))
     out = out.withColumn("units", F.transform("_u", lambda t: F.struct(t.alias("text"), F.array_contains("_gone", t).alias("excluded"))))
-    return out.withColumn("hidden", (F.size("units") > 0) & F.forall("units", lambda u: u["excluded"])).drop("_u", "_gone")
+    out = out.withColumn("hidden", (F.size("units") > 0) & F.forall("units", lambda u: u["excluded"]))
+    return out.drop("_u", "_gone")
 
 
-def blocks(lines: DataFrame, body: DataFrame, p: Params, width: float, tables: DataFrame | None = None, rules: dict[str, DataFrame] | None = None) -> DataFrame:
+def blocks(lines: DataFrame, body: DataFrame, p: Params, width: float | DataFrame, tables: DataFrame | None = None, rules: dict[str, DataFrame] | None = None) -> DataFrame:
     """Blocks of every page in their final order, with units. lines: of collect_lines, running ones gone; body: doc_id, body; rules: rule
     tables by operation (excluded, joins, splits, kinds, manual_order), absent ones empty."""
     rules = rules or {}
     lines = cut(folds.merge_fragments(lines, p.join_gap))
     found = None
-    if tables is not None and p.table_strategy != "off":
+    if tables is not None and p.table_strategy != "none":
         made = T.table_rows(lines, tables)
         lines = T.outside_tables(lines, made)
         found = made.withColumn("ord", (F.row_number().over(Window.partitionBy(*PAGE).orderBy("table_no", "row")) - 1).cast("int"))
@@ -84,8 +94,7 @@ def blocks(lines: DataFrame, body: DataFrame, p: Params, width: float, tables: D
     kind = F.when(F.col("table_no").isNotNull(), "table").otherwise(L.kind(F.col("size"), F.col("body"), p))
     every = every.withColumn("kind", kind)
     if "kinds" in rules:
-        auto = every.select(*PAGE, "ord", F.col("kind").alias("_auto"))
-        every = R.override_kinds(every, rules["kinds"], [*PAGE, "ord"]).join(auto, [*PAGE, "ord"]).withColumn("forced", (F.col("kind") == "large") & (F.col("_auto") != "large")).drop("_auto")
+        every = R.override_kinds(every, rules["kinds"], [*PAGE, "ord"], "forced").withColumn("forced", F.coalesce(F.col("forced") == "large", F.lit(False)))
     else:
         every = every.withColumn("forced", F.lit(False))
     every = folds.drop_duplicates(_marked(cut(every), rules.get("excluded"), p).drop("units"))
@@ -122,16 +131,17 @@ def sentences(every: DataFrame, labels: DataFrame | None = None, p: Params | Non
         rows = rows.withColumn("cross_page", F.col("_more").isNotNull()).withColumn("sentence", F.when(F.col("_more").isNotNull(), F.concat(F.rtrim("sentence", F.lit(p.terminator)), "_more")).otherwise(F.col("sentence")))
     else:
         rows = rows.withColumn("cross_page", F.lit(False))
-    rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "b", "k")) - 1)
+    rows = L.number_in_document(cut(rows), ["b", "k"], "ord")
     rows = rows.join(labels, PAGE, "left") if labels is not None else rows.withColumn("page_label", F.lit(None).cast("string"))
     return rows.select("doc_id", "ord", "page_no", F.coalesce("page_label", F.col("page_no").cast("string")).alias("page_label"), "section", "kind", "pt", "sentence", "block_id", "cross_page")
 
 
-def extract(spans: DataFrame, p: Params | None = None, width: float = 595.0, tables: DataFrame | None = None, rules: dict[str, DataFrame] | None = None, labels: DataFrame | None = None) -> DataFrame:
-    """Sentences of documents from their spans; the body size is estimated unless the parameters give one."""
+def extract(spans: DataFrame, p: Params | None = None, width: float | DataFrame = 595.0, tables: DataFrame | None = None, rules: dict[str, DataFrame] | None = None, labels: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """Sentences of documents from their spans; the body size is estimated unless the parameters give one. width: of all
+    pages, or doc_id, page_no, width; pages: doc_id, n_pages, where trailing pages may be blank."""
     p = p or Params()
     lines = cut(L.collect_lines(spans))
     body = L.body_size(L.size_histogram(lines)) if not p.body_size else lines.select("doc_id").distinct().withColumn("body", F.lit(p.body_size))
-    lines = cut(L.without_running(lines, L.running_lines(lines, p)))
+    lines = cut(L.without_running(lines, L.running_lines(lines, p, pages)))
     return sentences(blocks(lines, body, p, width, tables, rules), labels, p)
 

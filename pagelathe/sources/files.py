@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..params import KEYWORDS
 
 FORBIDDEN = r'[\\/:*?"<>|]'
-#: Keywords of a list that is absent or empty.
-KEYWORDS = ["生成AI", "生成 AI", "生成系AI", "ジェネレーティブAI", "ジェネレーティブ AI", "Generative AI", "GenAI", "Gen AI", "大規模言語モデル", "LLM", "ChatGPT"]
 #: Fields of settings that do not change the sentences of a document, and so stay out of its signature.
 RECORDS = ("unit_merges", "unit_excludes", "unit_checks", "boundary_check", "task_states", "skip_pages")
 SETTINGS = """repeat_ratio double, size_tol double, tiny_ratio double, col_tol double, line_gap double, join_gap double, min_len int, body_size double, section_min_pt double,

@@ -51,9 +51,14 @@ def split_label(c):
     return F.regexp_replace(F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("unset")), FORBIDDEN, "_")
 
 
+def split_rows(exported: DataFrame, column: str) -> DataFrame:
+    """The adopted units with label: the name of the part that they go to."""
+    return exported.filter("adopted = '○'").withColumn("label", split_label(F.col(column)))
+
+
 def write_split(exported: DataFrame, path: str, column: str, overwrite: bool = False) -> None:
     """Adopted units, a folder for each value of a column."""
-    out = exported.filter("adopted = '○'").withColumn("label", split_label(F.col(column)))
+    out = split_rows(exported, column)
     out.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("label").option("header", True).option("escape", '"').csv(path)
 
 
@@ -92,9 +97,14 @@ def save_settings(new: DataFrame, path: str) -> None:
     new.write.mode("append").parquet(path)
 
 
+def latest_settings(history: DataFrame) -> DataFrame:
+    """Of each document the version saved last; of versions of one moment the last by number, where there is one."""
+    order = ["saved_at", *(["version"] if "version" in history.columns else [])]
+    return history.groupBy("doc_id").agg(F.max_by(F.struct(*history.columns), F.struct(*order)).alias("s")).select("s.*")
+
+
 def current_settings(spark: SparkSession, path: str) -> DataFrame:
-    history = spark.read.parquet(path)
-    return history.groupBy("doc_id").agg(F.max_by(F.struct(*history.columns), "saved_at").alias("s")).select("s.*")
+    return latest_settings(spark.read.parquet(path))
 
 
 def check_keywords(words: list[str]) -> list[str]:
