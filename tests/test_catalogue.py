@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from pagelathe.plans import catalogue
+from pagelathe.plans import catalogue, corrections  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
