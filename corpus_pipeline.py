@@ -31,8 +31,27 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, *queries.tokenizer_files(), window=1024, end=0)
 
 
-STAGES = [("language_id", identify_languages), ("exact_dedup", drop_copies), ("ngram_jaccard_join", drop_near_copies), ("source_mix", mix), ("packing", pack)]
-#: Classifiers, draws and token ids have no SQL; tests hold the stages against brute force.
+_WORKED: list[str] = []
+
+
+def _stage(name: str, function):
+    """The stage, which first deletes the working tables of the stages before it, whose results are written by then. What docs
+    still reads stays."""
+
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.discard(spark, _WORKED, docs)
+        _WORKED.clear()
+        begin = len(common.MADE)
+        out = function(spark, docs, sf_dir)
+        _WORKED.extend(common.MADE[begin:])
+        return out
+
+    stage.__name__, stage.__doc__ = function.__name__, function.__doc__
+    return name, stage
+
+
+STAGES = [_stage("language_id", identify_languages), _stage("exact_dedup", drop_copies), _stage("ngram_jaccard_join", drop_near_copies), _stage("source_mix", mix), _stage("packing", pack)]
+#: Classifiers, draws and token ids have no SQL; a test holds every stage against brute force.
 ORACLE_SQL = None
 
 

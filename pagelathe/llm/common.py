@@ -3,6 +3,7 @@ buffers, and block-packed exchanges (a few wide rows in place of one row for eac
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -33,6 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+#: Paths of the working tables that this process has written.
+MADE: list[str] = []
+
+
+def discard(spark: SparkSession, paths: list[str], needed: DataFrame) -> None:
+    """Deletes working tables, but for those that `needed` reads."""
+    read = {f.rsplit("/", 2)[-2] for f in needed.inputFiles()}  # each table's folder has a name of its own
+    for path in paths:
+        if path.rsplit("/", 1)[-1] not in read:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 #: Spark then drops the shuffle files of a query when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -48,6 +62,7 @@ def materialize(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, was)
+    MADE.append(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
@@ -130,9 +145,25 @@ class Words:
         self.first = np.concatenate(([0], np.cumsum(self.count)))
 
 
+_FRUGAL = False
+
+
+def frugal() -> None:
+    """In a Python worker: large arrays that are freed go back to the system, not to a pool that the worker keeps until it ends."""
+    global _FRUGAL
+    if not _FRUGAL:
+        _FRUGAL = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            ctypes.CDLL(None).mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def slices(texts: pa.Array):
     """(first row, bytes, offsets) of runs of rows of about SLICE_BYTES each; null counts as empty. A longer text makes
     a run of its own: texts are never cut."""
+    frugal()
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.fill_null("").cast(pa.large_string())
@@ -182,6 +213,7 @@ def unpack(batches, *kinds: tuple[str, type]) -> list[np.ndarray]:
 
 def bucket_runs(batches):
     """From rows sorted by bucket, the rows of one bucket after another (as lists of batches): a task holds one bucket."""
+    frugal()
     now, held = None, []
     for batch in batches:
         b = column(batch, "bucket").to_numpy()

@@ -84,7 +84,7 @@ def _sketch(width):
     return run
 
 
-def _to_buckets(width, buckets, chunk=1 << 20):
+def _to_buckets(width, buckets, chunk=1 << 19):
     """Rows (bucket, hashes, owners, sizes, counts): hashes by owner, counts of them by owner."""
 
     def out(held):

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,31 +156,17 @@ def mixed_blocks(docs: DataFrame, **how) -> DataFrame:
     return slots.join(cut.select("source_no", "block", "piece", "doc_id", "text"), ["source_no", "block"])
 
 
-def _cut(names):
-    """Rows (doc, runs) to documents whose text is the words that the runs take."""
-
-    def run(batches):
-        for batch in batches:
-            doc = column(batch, "doc")
-            cells = dict(zip(names, doc.flatten()))
-            out = []
-            for text, runs in zip(cells["text"], column(batch, "runs").to_pylist()):
-                words, taken = text.as_buffer().to_pybytes().split(), []
-                for r in runs:
-                    taken += words[r["skip"] : r["skip"] + r["words"]] * r["times"]
-                out.append(b" ".join(taken))
-            cells["text"] = pa.array(out, pa.binary()).cast(pa.string())
-            if "n_chars" in cells:
-                cells["n_chars"] = pc.utf8_length(cells["text"]).cast(cells["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(cells.values()), names=names)
-
-    return run
-
-
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """docs after the mix: a document's text is the words of it that the mix takes, repeats included, in its order; one of
     which nothing is taken goes. Rows go by their own runs, whatever their doc_id, with all columns, whatever their names;
     n_chars, where there is such a column, follows."""
     numbered, pieces, slots = _plan_by_row(docs, **how)
     runs = used(pieces, slots).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct(*(F.col(n).cast("int").alias(n) for n in ("skip", "words", "times"))))).alias("runs"))
-    return numbered.join(runs, "row_id").select("doc", "runs").mapInArrow(_cut(docs.columns), docs.schema)
+    # The words are bound by the outer lambda, so that a text is parted once and not once a run.
+    each = "repeat(concat(array_join(slice(w, r.skip + 1, r.words), ' '), ' '), r.times)"
+    text = F.expr(f"rtrim(' ', element_at(transform(array(regexp_extract_all(doc.text, r'{WORD}', 0)), w -> array_join(transform(runs, r -> {each}), '')), 1))")
+    doc = F.col("doc").withField("text", text)
+    out = numbered.join(runs, "row_id").select(doc.alias("doc"))
+    if "n_chars" in docs.columns:
+        out = out.select(F.col("doc").withField("n_chars", F.length("doc.text").cast(docs.schema["n_chars"].dataType)).alias("doc"))
+    return out.select("doc.*")
