@@ -34,13 +34,17 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.repartition(n, "doc_id") if docs.rdd.getNumPartitions() < n else docs
 
 
-def sentences(spark, sf_dir) -> DataFrame:
-    """L1 rows: doc_id, page_no, k (in the page), ord (in the document), sentence, kind, section, block_id."""
+def sentences(spark, sf_dir, in_document: bool = True) -> DataFrame:
+    """L1 rows: doc_id, page_no, k (in the page), ord (in the document, or else in the page), sentence, kind, section, block_id."""
     pages = _documents(spark, sf_dir).select(F.monotonically_increasing_id().alias("row"), F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), units(F.col("text"), ".", 2).alias("units"))
-    pages = X.cut(pages.withColumn("n", F.size("units")))  # cleaned once, whatever reads it how often
-    before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = pages.select("row", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a number a page
-    out = pages.join(start, "row").select("doc_id", "page_no", "start", F.posexplode("units").alias("k", "sentence"))
+    if in_document:
+        pages = X.cut(pages.withColumn("n", F.size("units")))  # cleaned once, whatever reads it how often
+        before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+        start = pages.select("row", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a number a page
+        pages = pages.join(start, "row")
+    else:
+        pages = pages.withColumn("start", F.lit(0))
+    out = pages.select("doc_id", "page_no", "start", F.posexplode("units").alias("k", "sentence"))
     out = out.withColumn("ord", (F.col("start") + F.col("k")).cast("int")).drop("start")
     kind = F.when(F.col("k") % 7 == 3, "table").when(F.length("sentence") <= 20, "large").otherwise("body")
     return out.withColumn("kind", kind).withColumn("section", F.concat(F.lit("s"), (F.col("k") % 3).cast("string"))).withColumn("block_id", F.col("page_no") * 1000 + F.floor(F.col("k") / 7))
@@ -104,12 +108,12 @@ BY = f"by_doc as (select doc_id, count(*) as n_sentences, count(*) filter ({HIT}
 
 @query("a7_sentence_rates", f"with {SENTENCES}, {BY} select doc_id, {RATE} from by_doc")
 def a7(spark, sf_dir):
-    return S.rates(sentences(spark, sf_dir), _pages(spark, sf_dir), keyword_pattern(WORDS))
+    return S.rates(sentences(spark, sf_dir, False), _pages(spark, sf_dir), keyword_pattern(WORDS))
 
 
 @query("a8_rates_total", f"with {SENTENCES}, {BY}, t as (select doc_id, sum(n_sentences)::bigint as n_sentences, sum(n_hit_sentences)::bigint as n_hit_sentences, sum(n_pages)::bigint as n_pages, sum(n_hit_pages)::bigint as n_hit_pages from by_doc group by grouping sets ((doc_id), ())) select doc_id, {RATE} from t")
 def a8(spark, sf_dir):
-    return S.rates(sentences(spark, sf_dir), _pages(spark, sf_dir), keyword_pattern(WORDS), total=True)
+    return S.rates(sentences(spark, sf_dir, False), _pages(spark, sf_dir), keyword_pattern(WORDS), total=True)
 
 
 @query("f2_sentences", f"with {SENTENCES} select doc_id, page_no, k, ord, sentence from s")
@@ -127,7 +131,7 @@ m as (select doc_id, page_no, kind from c qualify row_number() over (partition b
 select doc_id, page_no, any_value(m.kind) as kind, arg_min(section, ord) as section, count(*) as n_sentences, sum(length(sentence))::bigint as n_chars, string_agg(sentence, '' order by ord) as body
 from s join m using (doc_id, page_no) group by doc_id, page_no""")
 def a4(spark, sf_dir):
-    return S.rollup_pages(sentences(spark, sf_dir))
+    return S.rollup_pages(sentences(spark, sf_dir, False))
 
 
 @query("w7_context_windows", f"""with {SENTENCES}, h as (select doc_id, ord, ord - lag(ord) over (partition by doc_id order by ord) as d from s where {HIT}),
@@ -383,7 +387,7 @@ def a9(spark, sf_dir):
 
 @query("a11_hits_by_page", f"with {SENTENCES} select doc_id, page_no, count(*) as n_hits from s where {HIT} group by 1, 2")
 def a11(spark, sf_dir):
-    return G.hits_by_page(sentences(spark, sf_dir), keyword_pattern(WORDS))
+    return G.hits_by_page(sentences(spark, sf_dir, False), keyword_pattern(WORDS))
 
 
 @query("c11_page_suggestions", f"""with {LINES}, f as (select doc_id, page_no, count(*) as n_lines, sum(length(text))::bigint as n_chars, count(*) filter (regexp_matches(text, '[0-9]{{1,3}}\\s*$')) as n_tails, bool_or(size = 14) as big,

@@ -234,7 +234,7 @@ def p3(spark, sf_dir):
 @query("a19_export_breakdown", f"""with {SENTENCES} select doc_id, count(*) filter (kind = 'body') as body, count(*) filter (kind = 'large') as large, 0::bigint as small, 0::bigint as tiny, count(*) filter (kind = 'table') as "table",
 count(*) as total, sum(length(sentence))::bigint as n_chars from s group by doc_id""")
 def a19(spark, sf_dir):
-    return G.export_breakdown(sentences(spark, sf_dir))
+    return G.export_breakdown(sentences(spark, sf_dir, False))
 
 
 @query("j20_page_summary", f"""with {LINES}, p as (select doc_id, page_no, count(*) filter (kind = 'body') as body, count(*) filter (kind = 'large') as large, count(*) as total, coalesce(arg_min(text, ord) filter (kind = 'large'), '') as section from l group by 1, 2)
