@@ -36,16 +36,17 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentences(spark, sf_dir, in_document: bool = True) -> DataFrame:
     """L1 rows: doc_id, page_no, k (in the page), ord (in the document, or else in the page), sentence, kind, section, block_id."""
-    pages = _documents(spark, sf_dir).select(F.monotonically_increasing_id().alias("row"), F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), units(F.col("text"), ".", 2).alias("units"))
+    docs = _documents(spark, sf_dir)
+    named = [F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no")]
     if in_document:
+        pages = docs.select(F.monotonically_increasing_id().alias("row"), *named, units(F.col("text"), ".", 2).alias("units"))
         pages = X.cut(pages.withColumn("n", F.size("units")))  # cleaned once, whatever reads it how often
         before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
         start = pages.select("row", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a number a page
-        pages = pages.join(start, "row")
-    else:
-        pages = pages.withColumn("start", F.lit(0))
-    out = pages.select("doc_id", "page_no", "start", F.posexplode("units").alias("k", "sentence"))
-    out = out.withColumn("ord", (F.col("start") + F.col("k")).cast("int")).drop("start")
+        out = pages.join(start, "row").select("doc_id", "page_no", "start", F.posexplode("units").alias("k", "sentence"))
+        out = out.withColumn("ord", (F.col("start") + F.col("k")).cast("int")).drop("start")
+    else:  # the generator holds the cleaning itself, so that no inferred filter repeats it
+        out = docs.select(*named, F.posexplode(units(F.col("text"), ".", 2)).alias("k", "sentence")).withColumn("ord", F.col("k"))
     kind = F.when(F.col("k") % 7 == 3, "table").when(F.length("sentence") <= 20, "large").otherwise("body")
     return out.withColumn("kind", kind).withColumn("section", F.concat(F.lit("s"), (F.col("k") % 3).cast("string"))).withColumn("block_id", F.col("page_no") * 1000 + F.floor(F.col("k") / 7))
 
