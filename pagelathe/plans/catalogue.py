@@ -194,8 +194,8 @@ def j15(spark, sf_dir):
 
 
 @query("k5_tagged_text", f"""with {SENTENCES}, p as (select *, lag(page_no) over (partition by doc_id order by ord) as was from s)
-select doc_id, ord, 0 as part, '<h1>' || doc_id as line from p where was is null union all
-select doc_id, ord, 1, '<h2>p' || page_no from p where was is null or was <> page_no union all select doc_id, ord, 2, sentence from p""")
+select doc_id, ord, 0 as part, '<h1>' || doc_id || '</h1>' as line from p where was is null union all
+select doc_id, ord, 1, '<h2>p' || page_no || '</h2>' from p where was is null or was <> page_no union all select doc_id, ord, 2, sentence from p""")
 def k5(spark, sf_dir):
     return S.tagged_text(sentences(spark, sf_dir))
 

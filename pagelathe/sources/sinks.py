@@ -10,7 +10,7 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .files import FORBIDDEN
+from .files import FORBIDDEN, cache_state
 
 #: Rows that one sheet can hold, a limit of the format.
 SHEET_ROWS = 1_048_576
@@ -39,11 +39,18 @@ def write_tagged(lines: DataFrame, path: str, overwrite: bool = False) -> None:
     out.write.mode("overwrite" if overwrite else "errorifexists").text(path)
 
 
+def write_texts(lines: DataFrame, path: str, overwrite: bool = False) -> None:
+    """The same lines, a folder for each document, in order over its files."""
+    order = ["doc_id", "ord", "part"]
+    out = lines.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "line")
+    out.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("doc_id").text(path)
+
+
 def export_units(units: DataFrame, docs: DataFrame) -> DataFrame:
-    """The record of all units, those not adopted too. docs: doc_id, company, year, grp."""
+    """The record of all units, those not adopted too, with their anchor if they have one. docs: doc_id, company, year, grp."""
     out = units.join(docs.select("doc_id", "company", "year", "grp"), "doc_id", "left").withColumn("page_label", F.col("page_no").cast("string") if "page_label" not in units.columns else F.col("page_label"))
     out = out.withColumn("manual", F.when(F.col("merged"), "merge").otherwise("")).withColumn("adopted", F.when(F.col("adopted"), "○").otherwise("excluded"))
-    return out.withColumn("unit_id", F.concat_ws("-", "doc_id", "unit_id")).select(*UNIT_COLUMNS)
+    return out.withColumn("unit_id", F.concat_ws("-", "doc_id", "unit_id")).select(*UNIT_COLUMNS, *(["anchor"] if "anchor" in units.columns else []))
 
 
 def split_label(c):
@@ -125,6 +132,13 @@ def write_cache(rows: DataFrame, path: str) -> None:
     rows.repartition("doc_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
 
 
+def read_cache(docs: DataFrame, manifest: DataFrame, path: str, schema: str) -> DataFrame:
+    """Sentences of the documents (doc_id, mtime, sig) whose cache is of the same contents and settings. schema: that of the rows, as a text,
+    since doc_id is the name of a folder."""
+    good = cache_state(docs, manifest).filter("state = 'ok'").select("doc_id")
+    return docs.sparkSession.read.schema(schema).parquet(path).join(good, "doc_id", "left_semi")
+
+
 def payload(units: DataFrame) -> DataFrame:
     """doc_id, unit_id, json of each unit."""
     return units.select("doc_id", "unit_id", F.to_json(F.struct(*units.columns)).alias("json"))

@@ -61,7 +61,7 @@ def test_pages_windows_and_text(spark):
     w = S.context_windows(rows, keyword_pattern(["LLM"]), 1).collect()
     assert [(r["lo"], r["hi"], r["n_hits"]) for r in w] == [(0, 1, 1)]
     text = [r["line"] for r in S.tagged_text(rows).orderBy("ord", "part").collect()]
-    assert text == ["<h1>d", "<h2>p1", "the LLM here.", "second one.", "<h2>p2", "third one."]
+    assert text == ["<h1>d</h1>", "<h2>p1</h2>", "the LLM here.", "second one.", "<h2>p2</h2>", "third one."]
 
 
 @pytest.mark.parametrize(("second", "want"), [(8, [(1, 10)]), (9, [(1, 5), (7, 11)])])
