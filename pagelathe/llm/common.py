@@ -59,7 +59,7 @@ def materialize(df: DataFrame) -> DataFrame:
     was = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, was)
     MADE.append(path)
