@@ -211,6 +211,22 @@ def unpack(batches, *kinds: tuple[str, type]) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, kind) for x, (_, kind) in zip(got, kinds)]
 
 
+def narrow(parts) -> pa.Array:
+    """Numbers from 0 on, each part in the least unsigned type that holds it."""
+    return binary(x.astype(np.min_scalar_type(x.max(initial=0))) for x in parts)
+
+
+def widen(batches: list, name: str, beside: str) -> np.ndarray:
+    """Joins a narrowed column; the column beside it has as many entries, of 8 bytes each."""
+    got = [np.zeros(0, np.int32)]
+    for batch in batches:
+        for x, y in zip(column(batch, name), column(batch, beside)):
+            x, many = x.as_buffer(), y.as_buffer().size // 8
+            if many:
+                got.append(np.frombuffer(x, f"u{x.size // many}").astype(np.int32))
+    return np.concatenate(got)
+
+
 def bucket_runs(batches):
     """From rows sorted by bucket, the rows of one bucket after another (as lists of batches): a task holds one bucket."""
     frugal()

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WORD_BASE, Words, binary, bucket_runs, by_bucket, column, components, ids_of, materialize, mix, pick, reducers, slices, spans, unpack
+from .common import U64, WORD_BASE, Words, binary, bucket_runs, by_bucket, column, components, ids_of, materialize, mix, narrow, pick, reducers, slices, spans, unpack, widen
 
 #: Largest light set that is ever considered; beyond it, subsets outnumber any list. It changes no result: larger sets are heavy.
 MAX_LIGHT = 12
@@ -95,7 +95,8 @@ def _to_buckets(width, buckets, chunk=1 << 19):
         for lo, hi in zip(at[:-1], at[1:]):
             change = np.flatnonzero(np.concatenate(([True], node[lo + 1 : hi] != node[lo : hi - 1])))
             rows.append((h[lo:hi], node[lo:hi][change], n[lo:hi][change], np.diff(np.append(change, hi - lo)).astype(np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *(binary(x) for x in zip(*rows))], names=["bucket", "h", "node", "n", "c"])
+        h, node, n, c = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), binary(h), binary(node), narrow(n), narrow(c)], names=["bucket", "h", "node", "n", "c"])
 
     def run(batches):
         held, size, seen = [], 0, set()
@@ -121,7 +122,8 @@ def _shared(buckets):
     """From a bucket's blocks to rows (bucket of nodes, ...) of the shingles that at least two nodes have."""
 
     def one(batches):
-        h, node, n, c = unpack(batches, ("h", U64), ("node", np.int64), ("n", np.int32), ("c", np.int32))
+        h, node = unpack(batches, ("h", U64), ("node", np.int64))
+        n, c = (widen(batches, x, "node") for x in ("n", "c"))
         owner = np.repeat(np.arange(len(node)), c)
         order = np.lexsort((node[owner], h))
         h, owner = h[order], owner[order]
@@ -138,7 +140,7 @@ def _shared(buckets):
         for b, lo, hi in zip(found, at[:-1], at[1:]):
             o, inner = owner[lo:hi], np.argsort(owner[lo:hi], kind="stable")
             own, cnt = np.unique(o, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(binary([x]) for x in (h[lo:hi][inner], df[lo:hi][inner], node[own], n[own], cnt.astype(np.int32)))], names=["bucket", "h", "df", "node", "n", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), binary([h[lo:hi][inner]]), narrow([df[lo:hi][inner]]), binary([node[own]]), narrow([n[own]]), narrow([cnt])], names=["bucket", "h", "df", "node", "n", "c"])
 
     def run(batches):
         for bucket in bucket_runs(batches):
@@ -151,7 +153,8 @@ def _sets(percent):
     """From the blocks of a bucket of nodes to one row a node that can have a partner."""
 
     def one(batches):
-        h, df, node, n, c = unpack(batches, ("h", U64), ("df", np.int32), ("node", np.int64), ("n", np.int32), ("c", np.int32))
+        h, node = unpack(batches, ("h", U64), ("node", np.int64))
+        df, n, c = widen(batches, "df", "h"), widen(batches, "n", "node"), widen(batches, "c", "node")
         node, n = np.repeat(node, c), np.repeat(n, c)
         order = np.lexsort((h, df, node))
         h, df, node, n = h[order], df[order], node[order], n[order]

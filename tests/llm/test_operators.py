@@ -505,3 +505,12 @@ def test_substring_dedup_deals_copies_evenly(spark):
     assert len(factors) > 50 and max(factors) < sum(factors) / 8
     segments = [r["n"] for r in found if r["kind"] == substring_dedup.SEGMENT]
     assert sum(segments) < 12_500 and max(segments) < sum(segments) / 8  # 400 texts and one a task, not 600
+
+
+def test_narrowed_numbers_come_back():
+    for largest in (0, 255, 256, 65_535, 65_536, 2**31 - 1):
+        parts = [np.array([0, largest, 1], np.int32), np.array([largest], np.int32), np.zeros(0, np.int32)]
+        batch = pa.RecordBatch.from_arrays([common.narrow(parts), common.binary(x.astype(np.int64) for x in parts)], names=["n", "node"])
+        got = common.widen([batch, batch.slice(1)], "n", "node")
+        assert got.dtype == np.int32 and got.tolist() == [0, largest, 1, largest, largest]
+    assert common.widen([], "n", "node").tolist() == []
