@@ -13,11 +13,13 @@ from ..params import KEYWORDS
 BULLETS = "■●▲◆•⚫"
 LIST_HEAD = r"(?U)^(?:[●○■□◆◇▲△▼▽・※]|[①-⑳]|[（(]\d{1,2}[)）]|\d{1,2}[．.、]\s*\S|[a-zA-Z][.)]\s)"
 WORD_KEYWORD = r"[A-Za-z0-9 .\-]+"
+#: White space of any script (Unicode's White_Space), and the four separators of ASCII.
+BLANK = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
     """Removes white space of any script at both ends."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    return F.btrim(c, F.lit(BLANK))
 
 
 def clean(c: Column) -> Column:

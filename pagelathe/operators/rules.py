@@ -12,36 +12,54 @@ from ..params import KINDS
 AT_TOL, PT_TOL = 1.0, 0.05
 
 
-def _match(rows: DataFrame, rules: DataFrame, text: str, exact: bool = False):
-    """Blank rule texts meet nothing. exact: texts are compared as they are, white space at their ends too."""
-    r = rules.select(*(F.col(c).alias(f"r_{c}") for c in rules.columns)).filter(F.length(strip(F.col("r_text"))) > 0)
-    same = F.col("r_text") == F.col(text) if exact else strip(F.col("r_text")) == strip(F.col(text))
-    near = (F.abs(F.col("x0") - F.col("r_at")[0]) <= AT_TOL) & (F.abs(F.col("y0") - F.col("r_at")[1]) <= AT_TOL)
-    on = (F.col("r_doc_id") == F.col("doc_id")) & same & (F.col("r_page").isNull() | (F.col("r_page") == F.col("page_no"))) & (F.col("r_at").isNull() | near)
-    if "pt" in rules.columns:
-        on = on & (F.col("r_pt").isNull() | (F.abs(F.col("r_pt") - F.col("size")) <= PT_TOL))
-    return r, on
+def _told(rules: DataFrame, exact: bool) -> DataFrame:
+    """Rules with _key, the text they are compared by; blank rule texts meet nothing. exact: texts are compared as they are, white space
+    at their ends too."""
+    bare = strip(F.col("text"))
+    return rules.withColumn("_key", F.col("text") if exact else bare).filter(F.length(bare) > 0)
+
+
+def _near(rule, sized: bool):
+    """Whether a rule's place, and its size if rules are sized, fit the row; rule gives its fields."""
+    at = rule("at")
+    near = at.isNull() | (F.abs(F.col("x0") - at[0]) <= AT_TOL) & (F.abs(F.col("y0") - at[1]) <= AT_TOL)
+    return near & (rule("pt").isNull() | (F.abs(rule("pt") - F.col("size")) <= PT_TOL)) if sized else near
+
+
+def _met(rows: DataFrame, rules: DataFrame, text: str, exact: bool = False, order: tuple = ()) -> DataFrame:
+    """rows with _paged and _any: the rules for the row's page, and those for any page, that meet it, as structs led by the columns in
+    order. A text's rules for a page are one row to join with, and so are its rules for any page, each different one once:
+    a text that recurs over a document meets neither its other pages' rules nor a rule again and again."""
+    r, sized = _told(rules, exact), "pt" in rules.columns
+    each = F.collect_set(F.struct(*order, *(["pt"] if sized else []), "at"))
+    paged = r.filter("page is not null").groupBy("doc_id", F.col("page").alias("page_no"), "_key").agg(each.alias("_paged"))
+    anywhere = r.filter("page is null").groupBy("doc_id", "_key").agg(each.alias("_any"))
+    out = rows.withColumn("_key", F.col(text) if exact else strip(F.col(text)))
+    out = out.join(paged, ["doc_id", "page_no", "_key"], "left").join(anywhere, ["doc_id", "_key"], "left")
+    return out.select(*rows.columns, *(F.filter(c, lambda k: _near(lambda n: k[n], sized)).alias(c) for c in ("_paged", "_any")))
 
 
 def excluded(rows: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
     """The rows that an exclusion rule meets."""
-    r, on = _match(rows, rules, text)
-    return rows.join(r, on, "left_semi")
+    return _met(rows, rules, text).filter((F.size("_paged") > 0) | (F.size("_any") > 0)).select(*rows.columns)
 
 
 def unused(rows: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
     """The rules for one page that meet no row; rules for any page are not missed on one."""
-    r, on = _match(rows, rules.filter("page is not null"), text)
-    return r.join(rows, on, "left_anti").select(*(F.col(f"r_{c}").alias(c) for c in rules.columns))
+    r = _told(rules.filter("page is not null"), False)
+    r = r.select(*(F.col(c).alias(f"r_{c}") for c in r.columns))
+    keyed = rows.select("doc_id", "page_no", strip(F.col(text)).alias("_key"), "x0", "y0", *(["size"] if "pt" in rules.columns else []))
+    on = (F.col("r_doc_id") == F.col("doc_id")) & (F.col("r_page") == F.col("page_no")) & (F.col("r__key") == F.col("_key")) & _near(lambda n: F.col(f"r_{n}"), "pt" in rules.columns)
+    return r.join(keyed, on, "left_anti").select(*(F.col(f"r_{c}").alias(c) for c in rules.columns))
 
 
 def override_kinds(blocks: DataFrame, rules: DataFrame, key: list[str], forced: str | None = None) -> DataFrame:
     """Replaces kind by the first rule that fits, rules for one page before rules for any page. Texts are compared as they are; rules
     with a kind that there is not don't count. forced: name of a column for the rule's kind, null where no rule fits."""
-    r, on = _match(blocks, rules.filter(F.col("kind").isin(*KINDS)), "raw", exact=True)
-    first = Window.partitionBy(*key).orderBy(F.col("r_page").isNull(), "r_rule_ord")
-    out = blocks.join(r, on, "left").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    return out.withColumn("kind", F.coalesce("r_kind", "kind")).select(*blocks.columns, *([F.col("r_kind").alias(forced)] if forced else []))
+    r = rules.filter(F.col("kind").isin(*KINDS))
+    met = _met(blocks, r, "raw", exact=True, order=("rule_ord", "kind"))
+    first = [F.get(F.array_sort(c), 0)["kind"] for c in ("_paged", "_any")]
+    return met.withColumn("_kind", F.coalesce(*first)).withColumn("kind", F.coalesce("_kind", "kind")).select(*blocks.columns, *([F.col("_kind").alias(forced)] if forced else []))
 
 
 def join_blocks(blocks: DataFrame, rules: DataFrame) -> DataFrame:

@@ -291,11 +291,12 @@ def j5(spark, sf_dir):
 def _exclusions(rows):
     """Recorded exclusions: short lines of page 0 mod 40 for any page, others of those pages for that page and place, and two that fit nothing,
     one of them for one page."""
-    short = rows.filter("page_no % 40 = 0 and size = 14.0").select("doc_id", "text", F.lit(None).cast("long").alias("page"), F.lit(14.0).alias("pt"), F.lit(None).cast("array<double>").alias("at"))
-    placed = rows.filter("page_no % 40 = 0 and size = 9.0").select("doc_id", "text", F.col("page_no").alias("page"), F.lit(None).cast("double").alias("pt"), F.array(F.col("x0") + 0.5, "y0").alias("at"))
-    nothing = rows.groupBy("doc_id").agg(F.min("page_no").alias("page")).select("doc_id", F.concat(F.lit("~"), "doc_id").alias("text"), "page", F.lit(None).cast("double").alias("pt"), F.lit(None).cast("array<double>").alias("at"))
-    anywhere = nothing.withColumn("page", F.lit(None).cast("long"))  # for any page: never reported
-    return short.unionByName(placed).unionByName(nothing).unionByName(anywhere)
+    short = F.col("size") == 14.0
+    page, pt = F.when(~short, F.col("page_no")).cast("long").alias("page"), F.when(short, F.lit(14.0)).alias("pt")
+    told = rows.filter("page_no % 40 = 0 and size in (9.0, 14.0)").select("doc_id", "text", page, pt, F.when(~short, F.array(F.col("x0") + 0.5, "y0")).alias("at"))
+    nothing = rows.groupBy("doc_id").agg(F.min("page_no").cast("long").alias("page"))
+    nothing = nothing.select("doc_id", F.concat(F.lit("~"), "doc_id").alias("text"), F.explode(F.array("page", F.lit(None))).alias("page"), F.lit(None).cast("double").alias("pt"), F.lit(None).cast("array<double>").alias("at"))
+    return told.unionByName(nothing)  # the one for any page is never reported
 
 
 @query("j3_exclusions", f"""with {LINES}, x as (select distinct doc_id, text, page_no, x0, y0, size from l where page_no % 40 = 0)
