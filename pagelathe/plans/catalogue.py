@@ -20,6 +20,8 @@ from ..sources import files, sinks
 from . import extract as X
 
 P = Params(terminator=".", repeat_ratio=0.1)
+#: Of up to so many pages, the numbers of their first sentences are sent to all executors (about 60 bytes each).
+SENT_PAGES = 4_000_000
 WORDS = ["the", "token", "license"]
 SQL_WORDS = r"(?i)(^|[^A-Za-z])(the|token|license)([^A-Za-z]|$)"
 
@@ -42,8 +44,9 @@ def sentences(spark, sf_dir, in_document: bool = True) -> DataFrame:
         pages = docs.select(F.monotonically_increasing_id().alias("row"), *named, units(F.col("text"), ".", 2).alias("units"))
         pages = X.cut(pages.withColumn("n", F.size("units")))  # cleaned once, whatever reads it how often
         before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-        start = pages.select("row", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a number a page
-        out = pages.join(start, "row").select("doc_id", "page_no", "start", F.posexplode("units").alias("k", "sentence"))
+        start = X.cut(pages.select("row", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))  # a number a page
+        few = start.count() <= SENT_PAGES  # then no reader shuffles the texts
+        out = pages.join(F.broadcast(start) if few else start, "row").select("doc_id", "page_no", "start", F.posexplode("units").alias("k", "sentence"))
         out = out.withColumn("ord", (F.col("start") + F.col("k")).cast("int")).drop("start")
     else:  # the generator holds the cleaning itself, so that no inferred filter repeats it
         out = docs.select(*named, F.posexplode(units(F.col("text"), ".", 2)).alias("k", "sentence")).withColumn("ord", F.col("k"))
@@ -189,7 +192,7 @@ def j17(spark, sf_dir):
 select w.doc_id, anchor, text, s.ord from w join s on s.doc_id = w.doc_id and s.sentence = text and s.ord between anchor - 40 and anchor + 40 qualify row_number() over (partition by w.doc_id, anchor, text order by abs(s.ord - anchor), s.ord) = 1""")
 def j15(spark, sf_dir):
     rows = sentences(spark, sf_dir)
-    wanted = rows.select("doc_id", (F.col("ord") + 3).alias("anchor"), F.col("sentence").alias("text")).distinct()
+    wanted = rows.select("doc_id", (F.col("ord") + 3).alias("anchor"), F.col("sentence").alias("text"))
     return S.nearest_rows(wanted, rows)
 
 
