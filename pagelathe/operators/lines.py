@@ -9,20 +9,30 @@ from ..functions.text import LIST_HEAD, japanese_chars, strip
 from ..params import Params
 
 PAGE = ["doc_id", "page_no"]
+#: So many spans of a line are joined at a time.
+JOINED = 256
 
 
 def collect_lines(spans: DataFrame) -> DataFrame:
-    """One row a line: text of its spans in order, box, representative size and boldness; blank lines go."""
-    text, size = strip(F.col("text")), F.bround("size", 1)
-    n = japanese_chars(text)
+    """One row a line: text of its spans in order, box of the first, representative size and boldness; blank lines go. Spans are shuffled
+    and sorted once, by page, and all windows follow that order. A window hands its list to each row of the line, so texts are joined
+    by JOINED spans, then these pieces."""
     bold = (F.col("flags").bitwiseAND(16) != 0) | F.lower("font").contains("bold")
-    rank = F.when(F.length(text) > 0, F.struct(n > 0, F.when(n > 0, n).otherwise(F.length(text)), -F.col("span_ord")))  # blank spans don't count
-    parts = F.array_sort(F.collect_list(F.struct("span_ord", "text")))
-    out = spans.groupBy(*PAGE, "block_ord", "line_ord").agg(
-        F.array_join(F.transform(parts, lambda s: s["text"]), "").alias("text"), *(F.first(c).alias(c) for c in ("x0", "y0", "x1", "y1")),
-        F.max_by(size, rank).alias("size"), (F.try_divide(F.sum(F.when(bold, F.length(text)).otherwise(0)), F.sum(F.length(text))) >= 0.8).alias("bold"),
-    ).filter(F.length(strip(F.col("text"))) > 0)
-    return out.withColumn("ord", F.row_number().over(Window.partitionBy(*PAGE).orderBy("block_ord", "line_ord")) - 1)
+    out = spans.withColumn("_bold", F.coalesce(bold, F.lit(False))).drop("flags", "font").repartition(*PAGE)
+    n, japanese = F.col("_n"), F.col("_japanese")
+    out = out.withColumn("_n", F.length(strip(F.col("text")))).withColumn("_japanese", japanese_chars(F.col("text")))
+    rank = F.when(n > 0, F.struct(japanese > 0, F.when(japanese > 0, japanese).otherwise(n), -F.col("span_ord")))  # blank spans don't count
+    page = PAGE[::-1]  # page numbers differ most, so they are compared first
+    line = Window.partitionBy(*page, "block_ord", "line_ord").orderBy("span_ord", "text")
+    whole, piece = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), line.rowsBetween(0, JOINED - 1)
+    box, join = ("x0", "y0", "x1", "y1"), lambda texts, w: F.array_join(F.collect_list(texts).over(w), "")
+    out = out.select(
+        *PAGE, "block_ord", "line_ord", "span_ord", "text", *box, (F.row_number().over(line) - 1).alias("_k"), join("text", piece).alias("_piece"),
+        F.max_by(F.bround("size", 1), rank).over(whole).alias("size"), F.sum(F.when(F.col("_bold"), n).otherwise(0)).over(whole).alias("_heavy"), F.sum(n).over(whole).alias("_all"),
+    ).filter((F.col("_k") % JOINED == 0) & (F.col("_all") > 0))
+    bold = F.try_divide("_heavy", "_all") >= 0.8
+    out = out.select(*PAGE, "block_ord", "line_ord", "_k", join("_piece", whole).alias("text"), *box, "size", bold.alias("bold")).filter("_k = 0").drop("_k")
+    return out.withColumn("ord", F.row_number().over(Window.partitionBy(*page).orderBy("block_ord", "line_ord")) - 1)
 
 
 def size_histogram(lines: DataFrame, size="size", text="text") -> DataFrame:
